@@ -1,12 +1,13 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
 Memtables: every task digests its rows and combines equal digests (partial aggregation)
-before anything is written. Flush: the digests go out as a sorted run per generation,
-a Parquet table with the run's Bloom filters. Compaction: the runs merge into the index,
-one row per digest with the identifier to keep and the group's size. Hits: digests met
-more than once; a bitmap of a fixed size keeps the texts of other rows from travelling,
-and the texts that remain are compared byte for byte by grouping on digest and bytes
-together. Should one digest stand for different bytes, its rows are told apart by bytes.
+before anything is written. Flush: the digests go out as sorted runs, each with a filter
+(a bitmap of a fixed size). Compaction: a digest that no other run's filter holds is
+settled as it is; the others merge, and the index has one row per digest with the
+identifier to keep and the group's size. Hits are digests met more than once; a bitmap of
+them keeps the texts of other rows from travelling, and the texts that remain are
+compared byte for byte by grouping on digest and bytes together. Should one digest stand
+for different bytes, its rows are told apart by bytes.
 """
 
 from __future__ import annotations
@@ -31,38 +32,47 @@ def sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
-def flush(rows: DataFrame, runs: int) -> list[DataFrame]:
-    """Sorted runs of (digest, keep_id, n); generation by row, so that every run spans the table."""
-    combined = rows.select("digest", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run")).groupBy("run", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    level = written(combined.sortWithinPartitions("run", "digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
-    return [level.where(F.col("run") == r).drop("run") for r in range(runs)]
+def _slot(digest: str) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
 
 
-def compact(level: list[DataFrame]) -> DataFrame:
-    """Merge sorted runs: one row per digest."""
-    merged = level[0]
-    for run in level[1:]:
-        merged = merged.unionByName(run)
-    return merged.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+def _pages(digests: DataFrame, *by: str) -> DataFrame:
+    """Pages (page, bits) of a bitmap of the digests; at most FILTER_BITS / PAGE_BITS rows for each value of `by`."""
+    slot = _slot("digest")
+    return digests.select(*by, F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("bit")).groupBy(*by, "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def _slot(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+def _holds(bits: Column | str) -> Column:
+    """Whether the page has the row's digest's bit."""
+    at = F.bitmap_bit_position(_slot("digest"))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
 
 
-def hit_filter(index: DataFrame) -> DataFrame:
-    """Pages (page, bits) of a bitmap of the digests met more than once; at most FILTER_BITS / 32768 rows."""
-    slot = _slot("digest")
-    return index.where("n > 1").select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def flush(rows: DataFrame, runs: int) -> DataFrame:
+    """Sorted runs of (run, digest, keep_id, n); the run goes by the row, so that every run spans the table."""
+    combined = rows.select("digest", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run")).groupBy("run", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    return written(combined.sortWithinPartitions("run", "digest"), "runs")
+
+
+def compact(level: DataFrame) -> DataFrame:
+    """Merge sorted runs into (digest, keep_id, n), one row per digest.
+
+    The filters are broadcast: runs x 2 MB at most. Digests that pass no other run's
+    filter need no merge and are not shuffled.
+    """
+    filters = _pages(level, "run").groupBy("page").agg(F.collect_list(F.struct("run", "bits")).alias("filters"))  # a page of each run
+    met = level.withColumn("page", F.bitmap_bucket_number(_slot("digest"))).join(F.broadcast(filters), "page")
+    elsewhere = F.exists("filters", lambda f: (f["run"] != F.col("run")) & _holds(f["bits"]))
+    met = met.select("digest", "keep_id", "n", elsewhere.alias("elsewhere"))
+    merged = met.where("elsewhere").groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    return merged.unionByName(met.where("NOT elsewhere").drop("elsewhere"))
 
 
 def passes(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """The rows whose digest the filter may hold."""
-    slot = _slot("digest")
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    kept = rows.withColumn("page", F.bitmap_bucket_number(slot)).join(F.broadcast(pages), "page")
-    return kept.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("page", "bits")
+    kept = rows.withColumn("page", F.bitmap_bucket_number(_slot("digest"))).join(F.broadcast(pages), "page")
+    return kept.where(_holds("bits")).drop("page", "bits")
 
 
 def exact_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", runs: int = 4, digest=sha256) -> DataFrame:
@@ -77,7 +87,7 @@ def exact_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = df.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
     rows = written(texts.select("doc_id", "digest"), "digests")
     index = written(compact(flush(rows, runs)), "index")
-    suspects = passes(texts, hit_filter(index))
+    suspects = passes(texts, _pages(index.where("n > 1").select("digest")))
     verified = written(suspects.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).select("digest", "keep_id", "n", F.sha2(F.col("norm"), 512).alias("bytes")), "verified")
     clashes = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     result = rows.join(index, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest")
