@@ -5,8 +5,8 @@ whole blocks at least, so the join key is every choice of three blocks (38 bits
 for d = 2: chance hits stay rare at any corpus size). A block group that holds two or
 more different fingerprints is verified without forming its pairs: two fingerprints
 differ in at most two bits exactly when flipping at most one bit of each can give the
-same value, so every member is dealt to its one-flip neighbourhood within the block's
-free bits and linked to the least fingerprint that meets it there. Copies share a
+same value, so every member is dealt to its one-flip neighbourhood and linked to the least
+fingerprint that meets it there. Copies share a
 fingerprint and are one node from the start.
 """
 
@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, map_text, written
@@ -68,31 +68,23 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _bits(at: int) -> Column:
-    return F.lit(_signed(1 << at)).cast("long")
-
-
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """(u, v): star links whose components are those of all pairs of fingerprints within `distance` (0 or 2) bits.
 
-    fps: one row per different fingerprint, column fp. No pair of a group is formed: a
-    group of k members gives at most 27 k rows.
+    fps: one row per different fingerprint, column fp. No pair of a group is formed: k
+    fingerprints that share a block with another give 65 k rows.
     """
     if distance not in (0, 2):
         raise ValueError("distance must be 0 or 2")
     masks = blocks(distance)
     dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("choice", "key"))
     groups = dealt.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = dealt.join(groups, ["choice", "key"]).select("choice", "fp")
-    free = [[b for b in range(BITS) if not m >> b & 1] for m in masks]
-    if distance == 2:
-        flips = F.array(*[F.array(*[_bits(b) for b in bits]) for bits in free])
-        meets = F.concat(F.array("fp"), F.transform(F.element_at(flips, F.col("choice") + 1), lambda b: F.col("fp").bitwiseXOR(b)))
-    else:
-        meets = F.array("fp")
-    at = members.select("choice", "fp", F.explode(meets).alias("z"))
-    least = at.groupBy("choice", "z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = at.join(least, ["choice", "z"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    members = dealt.join(groups, ["choice", "key"]).select("fp").distinct()
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)).cast("long") for b in range(BITS)])
+    meets = F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b)) if distance else F.array("fp")
+    at = members.select("fp", F.explode(meets).alias("z"))
+    least = at.groupBy("z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = at.join(least, "z").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
 
 
