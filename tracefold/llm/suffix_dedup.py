@@ -138,22 +138,23 @@ class MergeTransforms:
         windows = sizes - self.width
         full = offset < windows[string]
         string, offset, block = string[full], offset[full], block[full]
-        doc, start = _order(rows.column("first"))
+        doc, start = _order(rows)
         order = np.lexsort((start[string] + offset, doc[string], block))
-        again = np.zeros(len(order), bool)
-        again[1:] = block[order[1:]] == block[order[:-1]]
+        block, string, offset = block[order], string[order], offset[order]
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], block[1:] != block[:-1]]), np.arange(len(block)), 0))
+        position = start[string] + offset
+        again = (doc[string] != doc[string[head]]) | (position != position[head])  # a repeated row's copy of the first is no later one
         bounds = np.concatenate([[0], np.cumsum(windows)])
         flags = np.zeros(int(bounds[-1]), bool)
-        late = order[again]
-        flags[bounds[string[late]] + offset[late]] = True
-        return marked(rows.column("pid"), flags, bounds)
+        flags[bounds[string[again]] + offset[again]] = True
+        return marked(rows, flags, bounds)
 
 
-def _order(first: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+def _order(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Documents as ranks (null first), and starts."""
-    ids = first.field("doc").to_pylist()
+    ids = rows.column("doc").to_pylist()
     rank = {x: i for i, x in enumerate(sorted({x for x in ids if x is not None}), 1)}
-    return np.array([rank.get(x, 0) for x in ids], np.int64), np.asarray(first.field("start")).astype(np.int64)
+    return np.array([rank.get(x, 0) for x in ids], np.int64), np.asarray(rows.column("start")).astype(np.int64)
 
 
 def remove_repeated_bytes(df: DataFrame, width: int = WIDTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", with_bytes: bool = False) -> DataFrame:

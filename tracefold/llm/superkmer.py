@@ -46,7 +46,7 @@ class CountWindows:
         at = ragged(np.cumsum(sizes) - sizes, windows)
         ranks = window_ranks(units, self.width)[at]
         flags = np.bincount(ranks)[ranks] > 1
-        return marked(rows.column("pid"), flags, np.concatenate([[0], np.cumsum(windows)]))
+        return marked(rows, flags, np.concatenate([[0], np.cumsum(windows)]))
 
 
 def remove_repeated_windows(df: DataFrame, width: int = WIDTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:

@@ -5,18 +5,17 @@ the leftmost least-ranked gram of `gram` units in it, so equal windows have equa
 minimisers at equal places. Consecutive windows that share a minimiser occurrence form a
 run, which can travel as one packed string of its units.
 
-1. cut: every document gives its runs as (minimiser hash, document, start, windows): some
-   30 bytes for each `(width - gram) / 2` units. No text travels.
+1. cut: every document gives its runs as (minimiser hash, content hash, document, start,
+   windows): some 40 bytes for each `(width - gram) / 2` units. No text travels.
 2. A window can only repeat if its minimiser occurs again, so only runs whose minimiser
    was met twice stay. Counting combines map-side; the join's hot side can be split.
-3. pack: the remaining runs meet their documents' texts and become packed strings. Runs
-   of a minimiser met more than HOT times go as single windows, so that no bucket is
-   unbounded: their bucket key is the window itself.
-4. Equal packed strings combine (map-side first): one row each with the least occurrence
-   and the number of occurrences.
-5. Packed strings of one minimiser meet in their bucket, where a kernel (given by the
+3. Runs of equal content (128 bits of hash) are one run with a least occurrence and a
+   number of occurrences, combined map-side: copies never meet as pairs.
+4. pack: where a minimiser has several different runs, the least occurrence of each
+   meets its document's text and becomes a packed string. More than HOT of them go as
+   single windows, which are combined by content, so that no bucket is unbounded.
+5. The packed strings of a minimiser meet in their bucket, where a kernel (given by the
    operator) compares the windows of different strings.
-6. Marks go back to occurrences and from there to documents.
 """
 
 from __future__ import annotations
@@ -30,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, forget, gram_hashes, mixed, ragged, runs, span_hashes, words_of, written
+from .common import CHUNK_BYTES, chunks, flat, forget, ragged, runs, span_hashes, words_of, written
 
-#: Runs of a minimiser beyond which they travel window by window.
+#: Different runs of a minimiser beyond which they travel window by window.
 HOT = 2000
+#: Bytes of text that numpy holds at a time where units are bytes, and bytes of strings packed at a time.
+BYTES_AT_ONCE, PACKED_AT_ONCE = 1 << 19, 1 << 20
 #: Bytes of packed strings that a kernel takes at a time, whole buckets of them.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -52,19 +53,12 @@ class Cut:
 
 
 def units(data: np.ndarray, offsets: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, document, offsets by document, gram hashes by first unit) of the units."""
+    """(starts, ends, document, offsets by document, hashes) of the units; a byte is its own hash."""
     if cut.words:
         starts, ends, docs = words_of(data, offsets)
-        bounds = np.searchsorted(starts, offsets)
-        grams = gram_hashes(span_hashes(data, starts, ends), cut.gram)
-    else:
-        starts = np.arange(len(data), dtype=np.int64)
-        ends = starts + 1
-        docs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        bounds = offsets
-        at = np.arange(max(0, len(data) - cut.gram + 1), dtype=np.int64)
-        grams = span_hashes(data, at, at + cut.gram)
-    return starts, ends, docs, bounds, grams
+        return starts, ends, docs, np.searchsorted(starts, offsets), span_hashes(data, starts, ends)
+    starts = np.arange(len(data), dtype=np.int64)
+    return starts, starts + 1, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), offsets, data
 
 
 def minimisers(grams: np.ndarray, docs: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,21 +86,24 @@ def minimisers(grams: np.ndarray, docs: np.ndarray, cut: Cut) -> tuple[np.ndarra
 
 
 def cut_runs(df: DataFrame, cut: Cut, text: str, doc_id: str) -> DataFrame:
-    """(m, doc, copy, start, windows): the runs of all documents; copy tells rows of equal id but different text apart."""
+    """(m, s, doc, copy, start, windows): the runs of all documents; copy tells rows of equal id but different text apart."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, CHUNK_BYTES if cut.words else BYTES_AT_ONCE):
             data, offsets = flat(batch.column(text))
-            _, _, docs, bounds, grams = units(data, offsets, cut)
+            _, _, docs, bounds, hashes = units(data, offsets, cut)
+            at = np.arange(max(0, len(hashes) - cut.gram + 1), dtype=np.int64)
+            grams = span_hashes(hashes, at, at + cut.gram)
             first, n, place = minimisers(grams, docs, cut)
+            content = span_hashes(hashes, first, first + n + cut.width - 1)
             own = pa.array(docs[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[place].view(np.int64)), batch.column(doc_id).take(own), batch.column("copy").take(own), pa.array((first - bounds[docs[first]]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["m", "doc", "copy", "start", "windows"],
+                [pa.array(grams[place].view(np.int64)), pa.array(content.view(np.int64)), batch.column(doc_id).take(own), batch.column("copy").take(own), pa.array((first - bounds[docs[first]]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["m", "s", "doc", "copy", "start", "windows"],
             )
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text, _copy(text)).mapInArrow(apply, f"m long, doc {kind}, copy long, start int, windows int")
+    return df.select(doc_id, text, _copy(text)).mapInArrow(apply, f"m long, s long, doc {kind}, copy long, start int, windows int")
 
 
 def _copy(text: str):
@@ -114,41 +111,36 @@ def _copy(text: str):
 
 
 def pack(texts: DataFrame, cut: Cut, text: str, kind: str) -> DataFrame:
-    """(m, packed, doc, copy, start, windows) of the listed runs (column runs: structs m, start, windows, hot)."""
+    """(m, packed, doc, copy, start, hot) of the listed runs (column runs: structs m, start, windows, hot); hot ones window by window."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, CHUNK_BYTES if cut.words else BYTES_AT_ONCE):
             data, offsets = flat(batch.column(text))
-            starts, ends, _, bounds, _ = units(data, offsets, cut) if cut.words else (None, None, None, offsets, None)
+            starts, ends, _, bounds, _ = units(data, offsets, cut)
             listed = batch.column("runs")
-            row = np.repeat(np.arange(len(listed)), np.diff(np.asarray(listed.offsets)))
+            row = np.repeat(np.arange(len(listed)), np.asarray(pc.list_value_length(listed)))
             inner = listed.flatten()
             m, start, n, hot = (np.asarray(inner.field(c)) for c in ("m", "start", "windows", "hot"))
-            times = np.where(hot, n, 1)
+            times = np.where(hot, n, 1).astype(np.int64)
             at = np.repeat(np.arange(len(m)), times)
-            step = ragged(np.zeros(len(m), np.int64), times)
-            start, row, m = start[at] + step, row[at], m[at]
-            n = np.where(hot[at], 1, n[at])
-            first = bounds[row] + start
-            last = first + n + cut.width - 2
-            if cut.words:
-                lo, hi = starts[first], ends[last]
-            else:
-                lo, hi = first, last + 1
-            for part in np.array_split(np.arange(len(m)), max(1, int((hi - lo).sum()) // (8 << 20) + 1)):
-                if not len(part):
+            start = start[at] + ragged(np.zeros(len(m), np.int64), times)
+            row, m, n, hot = row[at], m[at], np.where(hot[at], 1, n[at]), hot[at]
+            lo, hi = starts[bounds[row] + start], ends[bounds[row] + start + n + cut.width - 2]
+            group = np.cumsum(hi - lo) // PACKED_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(m)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
                     continue
-                size = hi[part] - lo[part]
-                raw = data[ragged(lo[part], size)]
-                ends_ = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends_), pa.py_buffer(np.ascontiguousarray(raw))])
-                own = pa.array(row[part])
+                size = hi[a:b] - lo[a:b]
+                raw = data[ragged(lo[a:b], size)]
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+                own = pa.array(row[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m[part]), pa.array(_joined(packed) if cut.words else packed, pa.binary()), batch.column("doc").take(own), batch.column("copy").take(own), pa.array(start[part].astype(np.int32)), pa.array(n[part].astype(np.int32)), pa.array(hot[at][part])],
-                    ["m", "packed", "doc", "copy", "start", "windows", "hot"],
+                    [pa.array(m[a:b]), pa.array(_joined(packed), pa.binary()) if cut.words else packed, batch.column("doc").take(own), batch.column("copy").take(own), pa.array(start[a:b].astype(np.int32)), pa.array(hot[a:b])],
+                    ["m", "packed", "doc", "copy", "start", "hot"],
                 )
 
-    return texts.select("doc", "copy", text, "runs").mapInArrow(apply, f"m long, packed binary, doc {kind}, copy long, start int, windows int, hot boolean")
+    return texts.select("doc", "copy", text, "runs").mapInArrow(apply, f"m long, packed binary, doc {kind}, copy long, start int, hot boolean")
 
 
 def _joined(packed: pa.Array) -> list[bytes]:
@@ -156,7 +148,7 @@ def _joined(packed: pa.Array) -> list[bytes]:
     return [b" ".join(x.split()) for x in packed.to_pylist()]
 
 
-def in_buckets(strings: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def in_buckets(strings: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], kind: str) -> DataFrame:
     """Run the kernel on whole buckets; a task streams over its sorted rows and holds BUCKET_BYTES at a time."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +179,7 @@ def in_buckets(strings: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordB
         if held:
             yield kernel(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return strings.mapInArrow(apply, "pid string, marks array<int>")
+    return strings.mapInArrow(apply, f"doc {kind}, copy long, start int, marks array<int>")
 
 
 def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool, text: str, doc_id: str) -> DataFrame:
@@ -196,34 +188,40 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
     first_stays: the least occurrence (document, start) of a window is not covered by it;
     otherwise every occurrence of a window met twice is.
     """
-    kind = df.schema[doc_id].dataType.simpleString()
+    spark, kind = df.sparkSession, df.schema[doc_id].dataType.simpleString()
     found = written(cut_runs(df, cut, text, doc_id), "runs")
-    again = found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1")
-    listed = found.join(again, "m").groupBy("doc", "copy").agg(F.collect_list(F.struct("m", "start", "windows", (F.col("times") > HOT).alias("hot"))).alias("runs"))
-    texts = df.select(F.col(doc_id).alias("doc"), _copy(text), text).join(listed.withColumnsRenamed({"doc": "doc_", "copy": "copy_"}), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("copy") == F.col("copy_")))
-    placed = written(pack(texts, cut, text, kind).withColumn("pid", F.md5("packed")), "packed")
+    again = found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
+    again = written(found.join(again, "m"), "again")
     forget(found)
-    strings = placed.groupBy("m", "pid", "packed", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times"), F.first("hot").alias("hot"))
-    strings = written(strings, "strings")
-    several = strings.where("NOT hot").groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    meeting = strings.where("NOT hot").join(several, "m").select("m", "pid", "packed", "windows", "first", "times")
-    n_parts = meeting.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = meeting.repartition(int(n_parts), "m").sortWithinPartitions("m")
-    marks = in_buckets(dealt, kernel)
-    every = F.array(F.lit(0), F.col("windows"))
-    units_of = F.struct((F.col("start") + F.element_at("pair", 1)).alias("from"), (F.col("start") + F.element_at("pair", 2) + cut.width - 1).alias("to"))
+    place = F.struct("doc", "start", "copy")
+    groups = written(again.groupBy("m", "s", "windows").agg(F.min(place).alias("first"), F.count("*").alias("times")), "groups")
+    repeated = groups.where("times > 1").select("m", "s", "first")
+    whole = again.join(repeated, ["m", "s"])
+    if first_stays:
+        whole = whole.where(~place.eqNullSafe(F.col("first")))
+    whole = whole.select("doc", "copy", "start", F.array(F.lit(0), F.col("windows")).alias("pair"))
+
+    several = groups.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
+    meeting = groups.join(several, "m").select("m", "windows", "first", (F.col("n") > HOT).alias("hot"))
+    listed = meeting.groupBy(F.col("first.doc").alias("doc_"), F.col("first.copy").alias("copy_")).agg(F.collect_list(F.struct("m", "first.start", "windows", "hot")).alias("runs"))
+    texts = df.select(F.col(doc_id).alias("doc"), _copy(text), text)
+    texts = texts.join(listed, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("copy") == F.col("copy_")))
+    packed = written(pack(texts, cut, text, kind), "packed")
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = in_buckets(packed.where("NOT hot").repartition(parts, "m").sortWithinPartitions("m"), kernel, kind)
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("marks") / 2 - 1).cast("int")), lambda i: F.slice("marks", 2 * i + 1, 2))
+    partial = marks.where("size(marks) > 0").select("doc", "copy", "start", F.explode(pairs).alias("pair"))
+
+    hot = packed.where("hot").withColumn("s", F.md5("packed")).drop("packed")
+    single = hot.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    alone = hot.join(single, "s")
     if first_stays:
-        repeated = strings.where("times > 1").select("pid", "first")
-        whole = placed.join(repeated, "pid").where(~(F.struct("doc", "start").eqNullSafe(F.col("first")))).select("doc", "copy", "start", every.alias("pair"))
-        firsts = strings.select("pid", F.col("first.doc").alias("doc_"), F.col("first.start").alias("start_"))
-        partial = placed.join(marks.join(firsts, "pid"), "pid").where(F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("start") == F.col("start_")))
-    else:
-        repeated = strings.where("times > 1").select("pid")
-        whole = placed.join(repeated, "pid").select("doc", "copy", "start", every.alias("pair"))
-        partial = placed.join(marks.join(repeated, "pid", "left_anti"), "pid")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), (F.size("marks") / 2 - 1).cast("int")), lambda i: F.slice("marks", 2 * i + 1, 2)))
-    partial = partial.where("size(marks) > 0").select("doc", "copy", "start", pairs.alias("pair"))
-    spans = whole.unionByName(partial).select("doc", "copy", units_of.alias("span"))
+        alone = alone.where(~place.eqNullSafe(F.col("first")))
+    alone = alone.select("doc", "copy", "start", F.array(F.lit(0), F.lit(1)).alias("pair"))
+
+    span = F.struct((F.col("start") + F.col("pair")[0]).alias("from"), (F.col("start") + F.col("pair")[1] + cut.width - 1).alias("to"))
+    spans = whole.unionByName(partial).unionByName(alone).select("doc", "copy", span.alias("span"))
     return spans.groupBy("doc", "copy").agg(F.collect_list("span").alias("spans"))
 
 
@@ -247,11 +245,12 @@ def with_spans(df: DataFrame, spans: DataFrame, text: str, doc_id: str) -> DataF
     return own.join(spans.withColumnsRenamed({"copy": "copy_"}), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("copy") == F.col("copy_")), "left").select("doc_id", text, "spans")
 
 
-def marked(pids: pa.Array, flags: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    """(pid, marks) of the strings with flagged windows: ranges [from, to) one after the other; bounds: the strings' offsets in windows."""
+def marked(rows: pa.RecordBatch, flags: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """(doc, copy, start, marks) of the strings with flagged windows: ranges [from, to) one after the other; bounds: the strings' offsets in windows."""
     starts, ends = runs(flags, bounds)
     own = np.searchsorted(bounds, starts, "right") - 1
-    flatten = np.stack([starts - bounds[own], ends - bounds[own]], 1).ravel().astype(np.int32)
-    rows, first = np.unique(own, return_index=True)
-    at = np.append(2 * first, len(flatten)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pids.take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(at), pa.array(flatten))], ["pid", "marks"])
+    marks = np.stack([starts - bounds[own], ends - bounds[own]], 1).ravel().astype(np.int32)
+    which, first = np.unique(own, return_index=True)
+    at = np.append(2 * first, len(marks)).astype(np.int32)
+    named = [rows.column(c).take(pa.array(which)) for c in ("doc", "copy", "start")]
+    return pa.RecordBatch.from_arrays([*named, pa.ListArray.from_arrays(pa.array(at), pa.array(marks))], ["doc", "copy", "start", "marks"])
