@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, held_out, mixed, runs, sampled, span_hashes
+from .common import chunks, flat, held_out, mixed, ragged, runs, span_hashes
 from .quality import FOLD, LETTER
 
 BUCKETS, DIM = 1 << 16, 6
@@ -29,7 +29,7 @@ TABLES = 2 + len(STEMS)
 WIDTHS, FILTERS = (1, 2, 3), 6
 THRESHOLD = 0.3
 #: Bound of the labelled sample, in rows and in characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 8000, 4000
 #: Bins of the words that tell languages apart, languages at most, and toxic rows that a language needs for a calibration of its own.
 LANGUAGE_BINS, MAX_LANGUAGES, LEAST_TOXIC = 4096, 32, 10
 EPOCHS, BATCH, RATE, TABLE_RATE, SEED = 4, 64, 0.02, 0.004, 11
@@ -96,11 +96,14 @@ def pooled(model: Classifier, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
-def language_of(model: Classifier, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def language_bins(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(LANGUAGE_BINS)).astype(np.int16)
+
+
+def language_of(model: Classifier, bins: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The likeliest language by the words' bins; the first for a document without words."""
-    bins = (h >> np.uint64(40)) % np.uint64(LANGUAGE_BINS)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    totals = np.stack([np.bincount(doc, model.languages[bins.astype(np.int64), j], len(bounds) - 1) for j in range(model.languages.shape[1])], 1)
+    totals = np.stack([np.bincount(doc, model.languages[bins, j], len(bounds) - 1) for j in range(model.languages.shape[1])], 1)
     return totals.argmax(1)
 
 
@@ -111,10 +114,26 @@ def raw_scores(model: Classifier, at: np.ndarray, bounds: np.ndarray) -> np.ndar
 def predict(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     h, at, bounds = words(data, offsets)
     _, first, back = np.unique(h, return_index=True, return_inverse=True)  # a word is looked up once
-    z = pooled(model, embed(model, at[:, first])[back], bounds) @ model.weights + model.bias - model.zeros[language_of(model, h, bounds)] + np.log(THRESHOLD / (1 - THRESHOLD))
+    z = pooled(model, embed(model, at[:, first])[back], bounds) @ model.weights + model.bias - model.zeros[language_of(model, language_bins(h), bounds)] + np.log(THRESHOLD / (1 - THRESHOLD))
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language bins, places in the tables, document offsets) of the sample's words, made in slices."""
+    parts, sizes = [], []
+    for batch in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], limit=1 << 19):
+        h, at, bounds = words(*flat(batch.column("text")))
+        parts.append((language_bins(h), at))
+        sizes.append(np.diff(bounds))
+    return np.concatenate([b for b, _ in parts]), np.concatenate([a for _, a in parts], 1), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _rows(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words [.., word] of some documents, and their offsets."""
+    sizes = np.diff(bounds)[which]
+    return values[:, ragged(bounds[which], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _best_zero(z: np.ndarray, toxic: np.ndarray) -> float:
     """The middle of the gap that separates the two labels with fewest errors."""
     order = np.argsort(z, kind="stable")
@@ -135,25 +154,24 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None]) -> Classi
         model.bias = 4.0 if len(y) and y[0] else -4.0
         return model
     names = sorted({x for x in langs if x is not None}, key=lambda x: (-langs.count(x), x))[:MAX_LANGUAGES]
-    h, at, bounds = words(*flat(pa.array(texts)))
+    bins, at, bounds = _encoded(texts)
     if names:
-        doc = np.repeat(np.arange(len(y)), np.diff(bounds))
-        of_word = np.array([names.index(x) if x in names else -1 for x in langs])[doc]
-        bins = ((h >> np.uint64(40)) % np.uint64(LANGUAGE_BINS)).astype(np.int64)
+        doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds))
+        of_word = np.array([names.index(x) if x in names else -1 for x in langs], np.int16)[doc]
         counts = np.stack([np.bincount(bins[of_word == j], minlength=LANGUAGE_BINS) for j in range(len(names))], 1) + 0.1
         model.languages = np.log(counts / counts.sum(0)).astype(np.float32)
     apart = np.arange(len(y)) % CALIBRATION == 0
     if min(y[~apart].max(), y[apart].max()) == 0:  # too few toxic rows to keep any apart
         apart[:] = False
     kept = np.flatnonzero(~apart)
-    h, at, bounds = words(*flat(pa.array([texts[i] for i in kept])))
-    _start(model, at, bounds, y[kept], rng)
-    _descend(model, at, bounds, y[kept], rng)
+    _start(model, *_rows(at, bounds, kept), y[kept], rng)
+    _descend(model, *_rows(at, bounds, kept), y[kept], rng)
     check = np.flatnonzero(apart) if apart.any() else kept
-    h, at, bounds = words(*flat(pa.array([texts[i] for i in check])))
+    bins, _ = _rows(bins[None], bounds, check)
+    at, bounds = _rows(at, bounds, check)
     z, y = raw_scores(model, at, bounds), y[check]
     model.zeros = np.full(max(1, len(names)), _best_zero(z, y))
-    found = language_of(model, h, bounds)
+    found = language_of(model, bins[0], bounds)
     for j in range(len(names)):
         own = found == j
         if y[own].sum() >= LEAST_TOXIC and (1 - y[own]).sum() >= LEAST_TOXIC:
