@@ -12,6 +12,7 @@ fingerprint and are one node from the start.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, map_text, written
+from .common import chunks, flat, forget, gram_hashes, map_text, span_hashes, words_of, written
 from .components import components
 
 SEED = 42
@@ -28,6 +29,10 @@ BITS = 64
 SHARED_BLOCKS = 3
 #: Bytes of hash bits that one pass of counting expands.
 PASS = 1 << 16
+#: Probing: halves of a fingerprint that serve as blocks, and the least certain bits of each that may be wrong.
+HALVES, WEAK = 2, 6
+#: Words of the shingles that candidates are found by, and bits that candidates may differ in.
+BLOCK_SHINGLE, MOST_BITS = 3, 18
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -103,3 +108,96 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, text: st
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(smallest, "root").select("fp", "component_id")
     return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(margins [document, bit], words by document): how far each bit's votes lead, of hashed word shingles."""
+    starts, ends, docs = words_of(data, offsets)
+    bounds = np.searchsorted(starts, offsets)
+    h = span_hashes(data, starts, ends)
+    grams = gram_hashes(h, shingle).astype("<u8")
+    out = np.zeros((len(offsets) - 1, BITS), np.int64)
+    for d, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+        own = grams[a : b - shingle + 1] if b - a >= shingle else gram_hashes(h[a:b], b - a).astype("<u8") if b > a else grams[:0]
+        for x in range(0, len(own), PASS):
+            part = own[x : x + PASS]
+            out[d] += 2 * np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) - len(part)
+    return out, np.diff(bounds)
+
+
+def probes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(key, doc_id, fp): the keys of each document with a word: either half of its fingerprint with any of its WEAK least certain bits flipped."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subsets = (np.arange(1 << WEAK)[:, None] >> np.arange(WEAK) & 1).astype(np.uint64)
+        width = BITS // HALVES
+        for batch in chunks(batches, text):
+            data, offsets = flat(batch.column(text))
+            margins, words = _margins(_FOLD[data], offsets, BLOCK_SHINGLE)
+            some = np.flatnonzero(words)
+            if not len(some):
+                continue
+            bits = (margins[some] > 0).astype(np.uint8)
+            fp = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+            keys = []
+            for half in range(HALVES):
+                lo = half * width
+                weak = np.argsort(np.abs(margins[some, lo : lo + width]), axis=1, kind="stable")[:, :WEAK].astype(np.uint64)
+                flips = ((np.uint64(1) << weak) @ subsets.T).astype(np.uint64)
+                own = fp >> np.uint64(lo) & np.uint64((1 << width) - 1)
+                keys.append((own[:, None] ^ flips) | np.uint64(half) << np.uint64(width))
+            keys = np.concatenate(keys, 1)
+            own = pa.array(np.repeat(some, keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), batch.column(doc_id).take(own), pa.array(np.repeat(fp.view(np.int64), keys.shape[1]))], ["key", "doc_id", "fp"])
+
+    return df.select(doc_id, text).mapInArrow(apply, "key long, doc_id long, fp long")
+
+
+_FOLD = np.frombuffer(_LOWER, np.uint8)
+
+
+def shingle_sets(df: DataFrame, shingle: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, grams): the hashes of each document's different word shingles."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = flat(batch.column(text))
+        low = _FOLD[data]
+        starts, ends, _ = words_of(low, offsets)
+        bounds = np.searchsorted(starts, offsets).tolist()
+        h = span_hashes(low, starts, ends)
+        sets = [np.unique(gram_hashes(h[a:b], min(shingle, b - a))) if b > a else h[:0] for a, b in zip(bounds, bounds[1:])]
+        ends_ = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(doc_id), pa.ListArray.from_arrays(pa.array(ends_), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "grams"])
+
+    return map_text(df, each, "doc_id long, grams array<long>", [doc_id, text], text)
+
+
+def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of the documents linked to others; component_id is the smallest id reachable.
+
+    Links are pairs whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity
+    of `similarity` or more. Such pairs differ in more bits than whole blocks can bear, so
+    the blocks are probed: each half of a fingerprint also stands under the keys that
+    flip its least certain bits, which are those that an edit turns. A key's documents
+    are compared with two of them, the one met under most keys and the one of the
+    smallest id, never in pairs; what differs in few bits is verified by its shingles.
+    Ids must be whole numbers; rows without id or word are not linked; repeated ids count
+    as one document. Texts may be of any length.
+    """
+    met = written(probes(df.where(F.col(doc_id).isNotNull()), text, doc_id), "probes")
+    groups = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(met.join(groups, "key"), "members")
+    forget(met)
+    degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "doc_id")
+    hub = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc_id", "fp")).alias("hub"), F.min(F.struct("doc_id", "fp")).alias("first"))
+    sides = members.select("key", "doc_id", "fp").join(hub.select("key", F.array(F.struct("hub.doc_id", "hub.fp"), F.struct("first.doc_id", "first.fp")).alias("ends")), "key")
+    ends = sides.select("doc_id", "fp", F.inline("ends").alias("v", "fp_v")).where("doc_id <> v").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= MOST_BITS)
+    pairs = written(ends.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct(), "pairs")
+    forget(members)
+    asked = pairs.select(F.col("u").alias("__id")).union(pairs.select(F.col("v").alias("__id"))).distinct()
+    sets = written(shingle_sets(df.select(doc_id, text).join(asked, F.col(doc_id) == F.col("__id"), "left_semi"), shingle, text, doc_id).dropDuplicates(["doc_id"]), "sets")
+    a, b = (sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"g{c}")) for c in ("u", "v"))
+    shared = F.size(F.array_intersect("gu", "gv"))
+    close = pairs.join(a, "u").join(b, "v").where(shared >= similarity * (F.size("gu") + F.size("gv") - shared)).select("u", "v")
+    return components(written(close, "links")).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
