@@ -309,7 +309,7 @@ def lira_scores(spark, sf_dir):
     members = attacks.shadow_members(c, SHADOWS, SUBSAMPLE, 4)
     target = c.join(members.where("shadow = 0"), "traj_id", "left_semi")
     observed = sequences.markov_log_prob(c, sequences.markov_counts(target))
-    return attacks.membership_scores(c, members, observed).select("traj_id", r6(F.asinh("score")).alias("asinh_score"))  # floored deviations give ratios of many digits
+    return attacks.membership_scores(c, members, observed).select("traj_id", r6(F.signum("score") * F.log1p(F.abs("score"))).alias("signed_log_score"))  # floored deviations give ratios of many digits
 
 
 # -- metrics --------------------------------------------------------------------------------

@@ -255,7 +255,7 @@ c AS (SELECT shadow, context, symbol, count(*) AS n FROM pairs JOIN mem USING (t
 lp AS (SELECT traj_id, v.shadow, sum(ln((coalesce(n, 0) + 1e0) / (coalesce(total, 0) + v))) AS lp FROM pairs p CROSS JOIN v LEFT JOIN t ON t.shadow = v.shadow AND t.context = p.context LEFT JOIN c ON c.shadow = v.shadow AND c.context = p.context AND c.symbol = p.symbol GROUP BY ALL),
 st AS (SELECT lp.traj_id, count(m.traj_id) AS ni, avg(lp) FILTER (m.traj_id IS NOT NULL) AS mi, greatest(coalesce(stddev_samp(lp) FILTER (m.traj_id IS NOT NULL), 0), 1e-6) AS si, count(*) - count(m.traj_id) AS no, avg(lp) FILTER (m.traj_id IS NULL) AS mo, greatest(coalesce(stddev_samp(lp) FILTER (m.traj_id IS NULL), 0), 1e-6) AS so,
  max(lp) FILTER (lp.shadow = 0) AS x FROM lp LEFT JOIN mem m ON m.shadow = lp.shadow AND m.traj_id = lp.traj_id GROUP BY lp.traj_id)
-SELECT traj_id, round(asinh(CASE WHEN ni = 0 OR no = 0 THEN 0 ELSE (-0.5 * ln({2 * math.pi!r} * si * si) - (x - mi) * (x - mi) / (2 * si * si)) - (-0.5 * ln({2 * math.pi!r} * so * so) - (x - mo) * (x - mo) / (2 * so * so)) END), 6) AS asinh_score FROM st""",
+SELECT traj_id, round(sign(x) * ln(1 + abs(x)), 6) AS signed_log_score FROM (SELECT traj_id, (CASE WHEN ni = 0 OR no = 0 THEN 0 ELSE (-0.5 * ln({2 * math.pi!r} * si * si) - (x - mi) * (x - mi) / (2 * si * si)) - (-0.5 * ln({2 * math.pi!r} * so * so) - (x - mo) * (x - mo) / (2 * so * so)) END) AS x FROM st)""",
     "repetition_aggregate": f"WITH {WEEKLY}, s AS (SELECT result_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM weekly GROUP BY result_id) SELECT result_id, 'mean' AS metric, CAST(n AS INT) AS n_repetitions, round(m, 6) AS mean, round(m - {STUDENT}, 6) AS ci_low, round(m + {STUDENT}, 6) AS ci_high FROM s",
     "seed_aggregate": f"""WITH {WEEKLY}, s AS (SELECT result_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, avg(attack_runtime_s) AS rt, CASE WHEN count(DISTINCT n_probes) = 1 THEN min(n_probes) END AS n_probes FROM weekly GROUP BY result_id)
 SELECT 'e' AS exp_id, 'h' AS config_hash, result_id, 'mean' AS metric, CAST(n AS INT) AS n_repetitions, round(m, 6) AS value, round(m - {STUDENT}, 6) AS ci_low, round(m + {STUDENT}, 6) AS ci_high, round(rt, 6) AS attack_runtime_s, 5 AS n_pool, n_probes FROM s""",
