@@ -175,11 +175,12 @@ def phrases(model: Languages, points: np.ndarray, bounds: np.ndarray) -> tuple[n
         longest = int(length[part].max())
         for j, start in enumerate(model.starts):
             state = np.full(len(part), start, np.int64)
-            count = np.ones(len(part), np.int64)
+            count = np.zeros(len(part), np.int64)
             for t in range(longest):
                 hit = flat_table[state * width + grid[t]]
                 count += hit & 3
                 state = (hit >> 2).astype(np.int64)
+            count += state != start  # the phrase that the end cuts
             total[:, j] += np.bincount(doc[part], count, n).astype(np.int64)
     return total, sizes
 
