@@ -186,7 +186,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     met = written(probes(df.where(F.col(doc_id).isNotNull()), text, doc_id), "probes")
     groups = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(met.join(groups, "key"), "members")
+    members = written(met.join(groups.hint("merge"), "key"), "members")  # sorted at any size: a hot key's side can be split
     forget(met)
     degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "doc_id")
