@@ -116,11 +116,11 @@ def over_budget(rows: DataFrame, budget_s: float) -> DataFrame:
     return first.where(F.col("attack_runtime_s") > budget_s).orderBy(F.desc("attack_runtime_s"), "result_id")
 
 
-def mask_unmeasurable(rows: DataFrame) -> DataFrame:
-    """True-positive rates that too few non-members can resolve become NaN without interval; adds warning."""
+def mask_unmeasurable(rows: DataFrame, also_undefined: bool = False) -> DataFrame:
+    """True-positive rates that too few non-members can resolve become NaN without interval; adds warning (also_undefined: for those that are NaN already, too)."""
     fpr = F.regexp_extract("metric", r"^tpr@fpr=([0-9.eE+-]+)$", 1)
     rate = F.nullif(fpr, F.lit("")).try_cast("double")
-    bad = (F.col("family") == "membership_inference") & rate.isNotNull() & finite("value").isNotNull() & ~measurable(F.coalesce("n_nonmembers", F.lit(0)), rate)
+    bad = (F.col("family") == "membership_inference") & rate.isNotNull() & (F.lit(also_undefined) | finite("value").isNotNull()) & ~measurable(F.coalesce("n_nonmembers", F.lit(0)), rate)
     bad = F.coalesce(bad, F.lit(False))
     return rows.withColumns({
         "warning": F.when(bad, F.format_string("%s %s: %d non-members cannot resolve it", "result_id", "metric", F.coalesce("n_nonmembers", F.lit(0)))),

@@ -44,7 +44,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     def value(of: str, name: str):
         at = names.get((of, name))
-        return F.lit(None).cast("string") if at is None else F.filter("data", lambda d: d["_key"] == at)[0]["_VALUE"]
+        return F.lit(None).cast("string") if at is None else F.get(F.filter("data", lambda d: d["_key"] == at), F.lit(0))["_VALUE"]
 
     nodes = rows("node", f"_id string, {data}").select(F.col("_id").cast("bigint").alias("node_id"), *[value("node", c).cast("double").alias(c) for c in ("x", "y", "lon", "lat")], value("node", "street_count").cast("int").alias("street_count"))
     edges = rows("graph", f"edge array<struct<_id:string,_source:string,_target:string,{data.replace(' ', ':', 1)}>>").select(F.posexplode("edge").alias("edge_id", "e")).select("edge_id", F.col("e._source").cast("bigint").alias("u"), F.col("e._target").cast("bigint").alias("v"), F.coalesce(F.col("e._id").try_cast("int"), F.lit(0)).alias("key"), F.col("e.data").alias("data"))
