@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +32,18 @@ def get_spark(app: str = "tracefold", cores: str | int = "*", **conf: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracefold_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # the driver serves the archive from here
+    for source in package.rglob("*.py"):
+        target = Path(folder, "all", package.name, source.relative_to(package))
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(source, target)
+    sc.addPyFile(shutil.make_archive(f"{folder}/tracefold-{os.getpid()}", "zip", f"{folder}/all"))
+    sc._tracefold_shipped = True
