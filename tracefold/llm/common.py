@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame) -> DataFrame:
+    """The rows of a small aggregate, shuffled once more before a join on its key.
+
+    Adaptive execution splits a hot key's side of a join only where both sides come
+    straight from a shuffle, which an aggregate on the same key would not.
+    """
+    return df.hint("rebalance")
+
+
 def forget(df: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     spark = df.sparkSession

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import dealt_anew, forget, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """edges: (a, b), b the neighbour of a. Adds the least of a's neighbours and itself; hot nodes combine before the shuffle."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least, "a").select("a", "b", F.least("a", "m").alias("m"))
+    return edges.join(dealt_anew(least), "a").select("a", "b", F.least("a", "m").alias("m"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

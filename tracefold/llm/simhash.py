@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, forget, gram_hashes, map_text, span_hashes, words_of, written
+from .common import chunks, dealt_anew, flat, forget, gram_hashes, map_text, span_hashes, words_of, written
 from .components import components
 
 SEED = 42
@@ -84,12 +84,12 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     masks = blocks(distance)
     dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("choice", "key"))
     groups = dealt.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = dealt.join(groups, ["choice", "key"]).select("fp").distinct()
+    members = dealt.join(dealt_anew(groups), ["choice", "key"]).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)).cast("long") for b in range(BITS)])
     meets = F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b)) if distance else F.array("fp")
     at = members.select("fp", F.explode(meets).alias("z"))
     least = at.groupBy("z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = at.join(least, "z").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    pairs = at.join(dealt_anew(least), "z").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
 
 
@@ -106,8 +106,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, text: st
     roots = components(links(nodes.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
     labelled = written(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = labelled.join(dealt_anew(smallest), "root").select("fp", "component_id")
+    return docs.join(dealt_anew(of_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def _margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,32 +125,43 @@ def _margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nd
     return out, np.diff(bounds)
 
 
-def probes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, doc_id, fp): the keys of each document with a word: either half of its fingerprint with any of its WEAK least certain bits flipped."""
+def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, weak): fingerprint, and the places of the WEAK least certain bits of each half, of the documents with a word."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = flat(batch.column(text))
+        margins, words = _margins(_FOLD[data], offsets, BLOCK_SHINGLE)
+        some = np.flatnonzero(words)
+        margins = margins[some]
+        fp = np.packbits((margins > 0).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+        halves = np.abs(margins).reshape(len(some), HALVES, BITS // HALVES)
+        weak = np.argsort(halves, axis=2, kind="stable")[:, :, :WEAK].astype(np.uint8)
+        return pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(some)), pa.array(fp), pa.array([w.tobytes() for w in weak], pa.binary())], ["doc_id", "fp", "weak"])
+
+    return map_text(df, each, "doc_id long, fp long, weak binary", [doc_id, text], text)
+
+
+def probes(sketched: DataFrame) -> DataFrame:
+    """(key, doc_id): either half of each fingerprint with any of its least certain bits flipped."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subsets = (np.arange(1 << WEAK)[:, None] >> np.arange(WEAK) & 1).astype(np.uint64)
         width = BITS // HALVES
-        for batch in chunks(batches, text):
-            data, offsets = flat(batch.column(text))
-            margins, words = _margins(_FOLD[data], offsets, BLOCK_SHINGLE)
-            some = np.flatnonzero(words)
-            if not len(some):
-                continue
-            bits = (margins[some] > 0).astype(np.uint8)
-            fp = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-            keys = []
-            for half in range(HALVES):
-                lo = half * width
-                weak = np.argsort(np.abs(margins[some, lo : lo + width]), axis=1, kind="stable")[:, :WEAK].astype(np.uint64)
-                flips = ((np.uint64(1) << weak) @ subsets.T).astype(np.uint64)
-                own = fp >> np.uint64(lo) & np.uint64((1 << width) - 1)
-                keys.append((own[:, None] ^ flips) | np.uint64(half) << np.uint64(width))
-            keys = np.concatenate(keys, 1)
-            own = pa.array(np.repeat(some, keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), batch.column(doc_id).take(own), pa.array(np.repeat(fp.view(np.int64), keys.shape[1]))], ["key", "doc_id", "fp"])
-
-    return df.select(doc_id, text).mapInArrow(apply, "key long, doc_id long, fp long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                fp = np.asarray(batch.column("fp")).view(np.uint64)
+                weak = np.frombuffer(b"".join(batch.column("weak").to_pylist()), np.uint8).reshape(-1, HALVES, WEAK).astype(np.uint64)
+                keys = []
+                for half in range(HALVES):
+                    flips = ((np.uint64(1) << weak[:, half]) @ subsets.T).astype(np.uint64)
+                    own = fp >> np.uint64(half * width) & np.uint64((1 << width) - 1)
+                    keys.append((own[:, None] ^ flips) | np.uint64(half) << np.uint64(width))
+                keys = np.concatenate(keys, 1)
+                own = pa.array(np.repeat(np.arange(len(fp)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), batch.column("doc_id").take(own)], ["key", "doc_id"])
+
+    return sketched.mapInArrow(apply, "key long, doc_id long")
 
 
 _FOLD = np.frombuffer(_LOWER, np.uint8)
@@ -184,18 +195,21 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Ids must be whole numbers; rows without id or word are not linked; repeated ids count
     as one document. Texts may be of any length.
     """
-    met = written(probes(df.where(F.col(doc_id).isNotNull()), text, doc_id), "probes")
+    sketched = written(sketches(df.where(F.col(doc_id).isNotNull()), text, doc_id), "sketches")
+    met = written(probes(sketched), "probes")
     groups = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(met.join(groups.hint("merge"), "key"), "members")  # sorted at any size: a hot key's side can be split
+    members = met.join(dealt_anew(groups).hint("merge"), "key")  # sorted at any size: a hot key's side can be split
+    members = written(members.join(sketched.select("doc_id", "fp").dropDuplicates(["doc_id"]), "doc_id"), "members")
     forget(met)
     degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "doc_id")
+    ranked = members.join(dealt_anew(degree), "doc_id")
     hub = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc_id", "fp")).alias("hub"), F.min(F.struct("doc_id", "fp")).alias("first"))
-    sides = members.select("key", "doc_id", "fp").join(hub.select("key", F.array(F.struct("hub.doc_id", "hub.fp"), F.struct("first.doc_id", "first.fp")).alias("ends")), "key")
+    sides = members.select("key", "doc_id", "fp").join(dealt_anew(hub).select("key", F.array(F.struct("hub.doc_id", "hub.fp"), F.struct("first.doc_id", "first.fp")).alias("ends")), "key")
     ends = sides.select("doc_id", "fp", F.inline("ends").alias("v", "fp_v")).where("doc_id <> v").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= MOST_BITS)
     pairs = written(ends.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct(), "pairs")
     forget(members)
-    asked = pairs.select(F.col("u").alias("__id")).union(pairs.select(F.col("v").alias("__id"))).distinct()
+    # written, so that the planner knows its size before it decides whether the texts must travel
+    asked = written(pairs.select(F.col("u").alias("__id")).union(pairs.select(F.col("v").alias("__id"))).distinct(), "asked")
     sets = written(shingle_sets(df.select(doc_id, text).join(asked, F.col(doc_id) == F.col("__id"), "left_semi"), shingle, text, doc_id).dropDuplicates(["doc_id"]), "sets")
     a, b = (sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"g{c}")) for c in ("u", "v"))
     shared = F.size(F.array_intersect("gu", "gv"))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, flat, forget, ragged, runs, span_hashes, words_of, written
+from .common import CHUNK_BYTES, chunks, dealt_anew, flat, forget, ragged, runs, span_hashes, words_of, written
 
 #: Different runs of a minimiser beyond which they travel window by window.
 HOT = 2000
@@ -191,7 +191,7 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
     spark, kind = df.sparkSession, df.schema[doc_id].dataType.simpleString()
     found = written(cut_runs(df, cut, text, doc_id), "runs")
     again = found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
-    again = written(found.join(again, "m"), "again")
+    again = written(found.join(dealt_anew(again), "m"), "again")
     forget(found)
     place = F.struct("doc", "start", "copy")
     groups = written(again.groupBy("m", "s", "windows").agg(F.min(place).alias("first"), F.count("*").alias("times")), "groups")
@@ -202,7 +202,7 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
     whole = whole.select("doc", "copy", "start", F.array(F.lit(0), F.col("windows")).alias("pair"))
 
     several = groups.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
-    meeting = groups.join(several, "m").select("m", "windows", "first", (F.col("n") > HOT).alias("hot"))
+    meeting = groups.join(dealt_anew(several), "m").select("m", "windows", "first", (F.col("n") > HOT).alias("hot"))
     listed = meeting.groupBy(F.col("first.doc").alias("doc_"), F.col("first.copy").alias("copy_")).agg(F.collect_list(F.struct("m", "first.start", "windows", "hot")).alias("runs"))
     texts = df.select(F.col(doc_id).alias("doc"), _copy(text), text)
     texts = texts.join(listed, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("copy") == F.col("copy_")))
@@ -215,7 +215,7 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
 
     hot = packed.where("hot").withColumn("s", F.md5("packed")).drop("packed")
     single = hot.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    alone = hot.join(single, "s")
+    alone = hot.join(dealt_anew(single), "s")
     if first_stays:
         alone = alone.where(~place.eqNullSafe(F.col("first")))
     alone = alone.select("doc", "copy", "start", F.array(F.lit(0), F.lit(1)).alias("pair"))
