@@ -6,20 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rng
+from ..functions import order, rng
 
 
 def score_groups(scores: DataFrame) -> DataFrame:
-    """(score, pos, neg, below, tp, fp, p, n): tie groups with running counts.
-
-    Scores are combined first, so the ordered windows run over different scores, and the
-    totals are a single row.
-    """
+    """(score, pos, neg, below, tp, fp, p, n): tie groups with running counts."""
     groups = scores.groupBy("score").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    up, down = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     totals = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    out = groups.withColumns({"below": F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(up), F.lit(0.0)), "tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    return out.join(F.broadcast(totals))
+    out = order.running(groups, "score", ["pos", "neg"]).join(F.broadcast(totals))
+    below = F.col("before_pos") + F.col("before_neg")
+    return out.select("score", "pos", "neg", below.alias("below"), (F.col("p") - F.col("before_pos")).alias("tp"), (F.col("n") - F.col("before_neg")).alias("fp"), "p", "n")
 
 
 def average_ranks(scores: DataFrame) -> DataFrame:
@@ -62,13 +58,23 @@ def js_divergence(counts: DataFrame, key: str, left: str, right: str) -> DataFra
 
 
 def w1(values: DataFrame, value: str = "x", side: str = "side", *by: str) -> DataFrame:
-    """(by, w1): first Wasserstein distance of sides 0 and 1, as the area between their distribution functions."""
+    """(by, w1): first Wasserstein distance of sides 0 and 1, as the area between their distribution functions.
+
+    Each value's share of the area reaches from zero to it, so neighbours need not be
+    known: the area is a sum over values of the change of |F - G| there, times the value.
+    """
     groups = values.groupBy(*by, value).agg(*[F.sum(F.when(F.col(side) == s, 1.0).otherwise(0.0)).alias(f"n{s}") for s in (0, 1)])
-    order = Window.partitionBy(*by).orderBy(value)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    gap = F.abs(F.sum("n0").over(run) / F.sum("n0").over(every) - F.sum("n1").over(run) / F.sum("n1").over(every)) * (F.lead(value).over(order) - F.col(value))
-    return groups.select(*by, gap.alias("gap")).groupBy(*by).agg(F.sum("gap").alias("w1"))
+    if by:
+        run, every = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+        before = [F.coalesce(F.sum(f"n{s}").over(run), F.lit(0.0)) / F.sum(f"n{s}").over(every) for s in (0, 1)]
+        after = [b + F.col(f"n{s}") / F.sum(f"n{s}").over(every) for s, b in enumerate(before)]
+    else:
+        totals = groups.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+        groups = order.running(groups, value, ["n0", "n1"]).join(F.broadcast(totals))
+        before = [F.col(f"before_n{s}") / F.col(f"t{s}") for s in (0, 1)]
+        after = [(F.col(f"before_n{s}") + F.col(f"n{s}")) / F.col(f"t{s}") for s in (0, 1)]
+    change = F.abs(before[0] - before[1]) - F.abs(after[0] - after[1])
+    return groups.select(*by, (change * F.col(value)).alias("part")).groupBy(*by).agg(F.sum("part").alias("w1"))
 
 
 def resampled(n: int, rounds: int, seed: int, purpose: str, spark) -> DataFrame:
@@ -97,17 +103,15 @@ def bootstrap_ci(indexed: DataFrame, rounds: int, ci: float = 0.95, seed: int =
     return mean.crossJoin(interval(means, "m", ci))  # a row each
 
 
-def indexed(df: DataFrame, order: str, value: Column) -> DataFrame:
-    """(i, x): values numbered from 0 in the order of a key."""
-    return df.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), value.alias("x"))
+def indexed(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """(i, x): values numbered from 0, in an order of the key (see order.numbered)."""
+    return order.numbered(df.select(F.col(key).alias("__key"), value.alias("x")), "__key").select("i", "x")
 
 
 def sorted_distance(pairs: DataFrame, *by: str) -> DataFrame:
-    """(by, d): mean distance of the sorted columns a and b."""
-    sides = []
-    for c in ("a", "b"):
-        sides.append(pairs.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(c)).alias("r"), c))
-    return sides[0].join(sides[1], [*by, "r"]).groupBy(*by).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("d"))
+    """(by, d): mean distance of the sorted columns a and b, which is W1 of samples of equal size."""
+    long = pairs.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("x")), F.struct(F.lit(1).alias("side"), F.col("b").alias("x")))).alias("v"))
+    return w1(long.select(*by, "v.side", "v.x"), "x", "side", *by).withColumnRenamed("w1", "d")
 
 
 def paired_length_bootstrap(pairs: DataFrame, rounds: int, ci: float = 0.95, seed: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo, rng
+from ..functions import geo, order, rng
 from ..operators import attacks, cleaning, matching, metrics, protect, reporting, sequences, splits, stays, zones
 from ..sources import adapters
 from ..sources.adapters import as_arrays, points, scores, table
@@ -377,7 +377,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query
 def paired_bootstrap(spark, sf_dir):
-    pairs = _lengths(spark, sf_dir).select((F.row_number().over(Window.orderBy("traj_id")) - 1).alias("i"), "a", "b").cache()
+    pairs = order.numbered(_lengths(spark, sf_dir), "traj_id").select("i", "a", "b").cache()
     return metrics.paired_length_bootstrap(pairs, 20).select(*[r6(c, 3).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 

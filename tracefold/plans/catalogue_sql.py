@@ -117,6 +117,8 @@ ranking AS (SELECT probe AS probe_id, true_user, user, distance, CAST(row_number
 _drawn = lambda purpose, b, k, n: f"CAST(floor({u(chr(39) + '0' + chr(39), chr(39) + purpose + chr(39), b, k)} * {n}) AS INT)"
 LENGTHS = f"{geom('pts', 'ga')}, {geom('rel', 'gb')}, lengths AS (SELECT traj_id, ga.length_m AS a, gb.length_m AS b FROM ga JOIN gb USING (traj_id))"
 
+_part = lambda key: f"floor({u(chr(39) + 'number' + chr(39), key)} * 256)"  # noqa: E731  the order in which rows are numbered
+
 NETWORK = f"""m AS (SELECT count(*) AS m FROM nation),
 nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS node_id, 450000 + 1500 * cos({2 * math.pi!r} * n_nationkey / m) AS x, 4420000 + 1500 * sin({2 * math.pi!r} * n_nationkey / m) AS y FROM nation, m),
 steps AS (SELECT n_nationkey AS a, (n_nationkey + d) % m AS b, w FROM nation, m, (VALUES (1, 1.0e0), (7, 1.0e0), (7, 1.5e0)) AS s(d, w)),
@@ -220,15 +222,15 @@ UNION ALL SELECT 'tpr@fpr=' || f, CASE WHEN any_value(n) * f >= 1 - 1e-9 THEN ro
 SELECT round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS jsd FROM c""",
     "length_w1_paired": f"WITH {PTS}, {REL}, {LENGTHS} SELECT round(avg(abs(a - b)), 3) AS w1_m FROM (SELECT a, row_number() OVER (ORDER BY a) AS r FROM lengths) JOIN (SELECT b, row_number() OVER (ORDER BY b) AS r FROM lengths) USING (r)",
     "length_w1_unpaired": f"WITH vals AS (SELECT o_totalprice AS x, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS side FROM orders WHERE o_orderstatus IN ('O', 'F')) {W1}",
-    "bootstrap_ci": f"""WITH {SCORES}, ix AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, CAST(label AS DOUBLE) AS x, count(*) OVER () AS n FROM scores),
+    "bootstrap_ci": f"""WITH {SCORES}, ix AS (SELECT row_number() OVER (ORDER BY {_part("id")}, id) - 1 AS i, CAST(label AS DOUBLE) AS x, count(*) OVER () AS n FROM scores),
 m AS (SELECT b, avg(x) AS m FROM (SELECT b, {_drawn('bootstrap', 'b', 'k', 'n')} AS i FROM range(0, 100) AS r(b), (SELECT i AS k, n FROM ix)) JOIN ix USING (i) GROUP BY b)
 SELECT round((SELECT avg(x) FROM ix), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m""",
-    "paired_bootstrap": f"""WITH {PTS}, {REL}, {LENGTHS}, ix AS (SELECT row_number() OVER (ORDER BY traj_id) - 1 AS i, a, b, count(*) OVER () AS n FROM lengths),
+    "paired_bootstrap": f"""WITH {PTS}, {REL}, {LENGTHS}, ix AS (SELECT row_number() OVER (ORDER BY {_part("traj_id")}, traj_id) - 1 AS i, a, b, count(*) OVER () AS n FROM lengths),
 dr AS (SELECT rd, a, b FROM (SELECT rd, {_drawn('paired', 'rd', 'k', 'n')} AS i FROM range(0, 20) AS r(rd), (SELECT i AS k, n FROM ix)) JOIN ix USING (i)),
 ds AS (SELECT rd, avg(abs(a - b)) AS d FROM (SELECT rd, a, row_number() OVER (PARTITION BY rd ORDER BY a) AS r FROM dr) JOIN (SELECT rd, b, row_number() OVER (PARTITION BY rd ORDER BY b) AS r FROM dr) USING (rd, r) GROUP BY rd),
 one AS (SELECT avg(abs(a - b)) AS d FROM (SELECT a, row_number() OVER (ORDER BY a) AS r FROM ix) JOIN (SELECT b, row_number() OVER (ORDER BY b) AS r FROM ix) USING (r))
 SELECT round((SELECT d FROM one), 3) AS value, round(quantile_cont(d, 0.025), 3) AS ci_low, round(quantile_cont(d, 0.975), 3) AS ci_high FROM ds""",
-    "two_sample_bootstrap": f"""WITH {SCORES}, ix AS (SELECT label AS side, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS i, score AS x, count(*) OVER (PARTITION BY label) AS n FROM scores),
+    "two_sample_bootstrap": f"""WITH {SCORES}, ix AS (SELECT label AS side, row_number() OVER (PARTITION BY label ORDER BY {_part("id")}, id) - 1 AS i, score AS x, count(*) OVER (PARTITION BY label) AS n FROM scores),
 dr AS (SELECT rd, side, x FROM (SELECT rd, side, CASE WHEN side = 0 THEN {_drawn('side0', 'rd', 'k', 'n')} ELSE {_drawn('side1', 'rd', 'k', 'n')} END AS i FROM range(0, 20) AS r(rd), (SELECT side, i AS k, n FROM ix)) JOIN ix USING (side, i)),
 every AS (SELECT * FROM dr UNION ALL SELECT -1, side, x FROM ix),
 g AS (SELECT rd, x, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS n1 FROM every GROUP BY ALL),

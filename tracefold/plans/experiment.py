@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
+from ..functions import geo, order
 from ..operators import attacks, cleaning, metrics, protect, reporting, sequences, splits, stays, zones
 from ..sources import adapters, results, trajectories
 from . import registry
@@ -237,7 +237,7 @@ class Experiment:
                 parts.append(metrics.js_divergence(both, "cell", "a", "b").select(F.lit("cell_js_divergence").alias("metric"), F.col("jsd").alias("value"), F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high")))
             if "length_dist_error" in cfg.utility:
                 lengths = cleaning.geometry(raw).select("traj_id", F.col("length_m").alias("a")).join(cleaning.geometry(noisy).select("traj_id", F.col("length_m").alias("b")), "traj_id")
-                pairs = lengths.select((F.row_number().over(Window.orderBy("traj_id")) - 1).alias("i"), "a", "b").cache()
+                pairs = order.numbered(lengths, "traj_id").select("i", "a", "b").cache()
                 parts.append(metrics.paired_length_bootstrap(pairs, cfg.bootstrap, cfg.ci, cfg.seed).select(F.lit("length_dist_error").alias("metric"), "value", "ci_low", "ci_high"))
             if parts:
                 out.append(self.rows(reduce(DataFrame.unionByName, parts), "utility", "protected", arm, time.perf_counter()))
