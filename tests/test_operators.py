@@ -101,13 +101,14 @@ def test_distances(spark):
     r = np.random.default_rng(1)
     pairs = [(r.normal(size=(n, 2)), r.normal(size=(m, 2))) for n, m in ((1, 1), (3, 7), (5, 20), (8, 2))]
     frame = spark.createDataFrame([([tuple(map(float, p)) for p in a], [tuple(map(float, p)) for p in b]) for a, b in pairs], f"a {PATH}, b {PATH}")
-    got = frame.select(geo.dtw(F.col("a"), F.col("b")).alias("dtw"), geo.hausdorff(F.col("a"), F.col("b")).alias("h")).collect()
+    got = frame.select(geo.dtw(F.col("a"), F.col("b")).alias("dtw"), geo.hausdorff(F.col("a"), F.col("b")).alias("h"), attacks.path_dtw(F.col("a"), F.col("b")).alias("long")).collect()
     for (a, b), g in zip(pairs, got):
         d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-        assert g.dtw == pytest.approx(plain_dtw(a, b)) and g.h == pytest.approx(max(d.min(1).max(), d.min(0).max()))
+        assert g.dtw == pytest.approx(plain_dtw(a, b)) and g.long == pytest.approx(g.dtw) and g.h == pytest.approx(max(d.min(1).max(), d.min(0).max()))
         assert attacks.dtw_matrix([a], [b, a])[0] == pytest.approx([plain_dtw(a, b), 0])
     empty = spark.createDataFrame([([], [(0.0, 0.0)])], f"a {PATH}, b {PATH}").select(geo.dtw(F.col("a"), F.col("b")).alias("d"), geo.hausdorff(F.col("a"), F.col("b")).alias("h")).first()
     assert empty.d == empty.h == math.inf
+    assert spark.createDataFrame([([], [(0.0, 0.0)]), ([(0.0, 0.0)], [])], f"a {PATH}, b {PATH}").select(attacks.path_dtw(F.col("a"), F.col("b"))).collect() == [(math.inf,), (math.inf,)]
 
 
 def test_utm(spark):

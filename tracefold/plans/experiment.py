@@ -155,7 +155,7 @@ class Experiment:
             truth = self.paths(self.release(Arm("none"))).select("traj_id", F.col("path").alias("truth"))
             both = made.join(truth, "traj_id")
             e, t = F.col("estimate"), F.col("truth")
-            scored = both.select("traj_id", geo.hausdorff(e, t).alias("mean_hausdorff_m"), geo.dtw(e, t).alias("mean_dtw_m"), geo.mean_spatial_error(e, t).alias("mean_spatial_error_m")).cache()
+            scored = both.select("traj_id", geo.hausdorff(e, t).alias("mean_hausdorff_m"), attacks.path_dtw(e, t).alias("mean_dtw_m"), geo.mean_spatial_error(e, t).alias("mean_spatial_error_m")).cache()
             out.append(self.rows(self._means(scored, {c: c for c in scored.columns[1:]}, "traj_id"), "reconstruction", "protected", arm, began, n_pool=scored.count()))
         return out
 
