@@ -182,3 +182,49 @@ def test_mix(make, monkeypatch, shard_docs):
     for s in names:
         assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= 8 * (1 + 300 // shard_docs)
     assert mixing.mixed(make([])).count() == 0
+
+
+def test_distances_by_hand(make):
+    """Class and word distances of every row against plain counting, with the fitted references."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice(["the", "Of", "été", "x1", "##", "and,", "日本"]) for _ in range(rng.randint(0, 60))), ["en", "fr", None][k % 3], None) for k in range(40)]
+    rows += [(90, None, "en", None), (91, "", "fr", None), (92, "12 34", "en", None)]
+    docs = make(rows)
+    rules = quality.fit(docs)
+    kinds = [str.islower, str.isupper, str.isdigit]
+
+    def kind(c):
+        if ord(c) >= 0x80:
+            return 6 if ord(c) < 0x800 else 7 if ord(c) < 0x10000 else 8
+        if c in " \t\n\x0b\x0c\r":
+            return 3
+        if c in "#*$%&|<>":
+            return 4
+        return next((i for i, f in enumerate(kinds) if f(c)), 5)
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0)
+        return max(0.0, (kl(p) + kl(q)) / 2) ** 0.5
+
+    classes = {}
+    for _, t, lang, _ in rows:
+        if lang:
+            classes.setdefault(lang, Counter()).update(map(kind, t or ""))
+    refs = [[classes[x][i] / sum(classes[x].values()) for i in range(9)] for x in sorted(classes)]
+    assert np.allclose(rules.class_refs, refs)
+    for r in quality.quality_report(docs, rules).collect():
+        t = next(t for i, t, *_ in rows if i == r.doc_id) or ""
+        n = Counter(map(kind, t))
+        p = [n[i] / max(1, len(t)) for i in range(9)]
+        assert r.class_distance == pytest.approx(min(js(p, q) for q in refs), abs=1e-7)
+        words = re.findall(r"(?:[A-Za-z]|[^\x00-\x7f])+", t)
+        low = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+        if not low:
+            assert r.word_distance == 1
+            continue
+        data, offsets = flat(pa.array([" ".join(low)]))
+        bins = quality.word_bins(data, offsets)[1].tolist()
+        assert len(bins) == len(low) and len(set(zip(low, bins))) == len(set(low))
+        best = min(js([sum(b == c for b in bins) / len(bins) for c in common] + [sum(b not in set(common.tolist()) for b in bins) / len(bins)], ref) for common, ref in zip(rules.common, rules.word_refs))
+        assert r.word_distance == pytest.approx(best, abs=1e-7)
