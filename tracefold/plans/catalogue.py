@@ -474,21 +474,21 @@ def rnldp_reports(spark, sf_dir):
 @query
 def rnldp_estimates(spark, sf_dir):
     seqs, arcs, n_zones = _rnldp(spark, sf_dir)
-    said = zones.reports(seqs, arcs, n_zones, 2.0, L_MAX, seed=6)
+    said = zones.reports(seqs, arcs, n_zones, 2.0, L_MAX, seed=6).cache()
     return zones.estimates(said, arcs, seqs.count(), n_zones, 2.0, L_MAX).select("stage", "category", r6("p").alias("p"))
 
 
 @query
 def rnldp_logprob(spark, sf_dir):
     seqs, arcs, n_zones = _rnldp(spark, sf_dir)
-    model = zones.estimates(zones.reports(seqs, arcs, n_zones, 2.0, L_MAX, seed=6), arcs, seqs.count(), n_zones, 2.0, L_MAX)
+    model = zones.estimates(zones.reports(seqs, arcs, n_zones, 2.0, L_MAX, seed=6).cache(), arcs, seqs.count(), n_zones, 2.0, L_MAX)
     return zones.log_prob(seqs, model, arcs, L_MAX).select("traj_id", r6("log_prob", 4).alias("log_prob"))
 
 
 @query
 def zone_walk_generate(spark, sf_dir):
     seqs, arcs, n_zones = _rnldp(spark, sf_dir)
-    model = zones.estimates(zones.reports(seqs, arcs, n_zones, 2.0, L_MAX, seed=6), arcs, seqs.count(), n_zones, 2.0, L_MAX)
+    model = zones.estimates(zones.reports(seqs, arcs, n_zones, 2.0, L_MAX, seed=6).cache(), arcs, seqs.count(), n_zones, 2.0, L_MAX)
     made = zones.generate(model, arcs, _zoned(spark, sf_dir), zones.hops(_arcs(spark, sf_dir)), 100, seed=8)
     return made.select("syn_id", F.array_join(F.transform("edge_seq", lambda e: e.cast("string")), ",").alias("edges"))
 

@@ -210,7 +210,7 @@ class Experiment:
         if not n:
             raise ValueError("there is no trajectory to fit on")
         epsilon, l_max, split = float(arm.get("epsilon", GENERATORS)), arm.get("l_max", GENERATORS), arm.get("budget_split", GENERATORS)
-        return zones.estimates(zones.reports(seqs, arcs, n_zones, epsilon, l_max, split, seed), arcs, n, n_zones, epsilon, l_max, split)
+        return zones.estimates(zones.reports(seqs, arcs, n_zones, epsilon, l_max, split, seed).cache(), arcs, n, n_zones, epsilon, l_max, split)
 
     def _zone_scores(self, arm: Arm, pool: DataFrame, shadows: int, subsample: float) -> DataFrame:
         zoned, arcs, n_zones = self.zones(arm)
