@@ -45,12 +45,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
-    """The rows of a small aggregate, shuffled once more before a join on its key.
+    """The rows of an aggregate, shuffled once more before a sort-merge join on its key.
 
     Adaptive execution splits a hot key's side of a join only where both sides come
-    straight from a shuffle, which an aggregate on the same key would not.
+    straight from a shuffle, which an aggregate on the same key would not. Neither is
+    the aggregate broadcast: compressed shuffle files, by which that would be decided,
+    can be a hundredth of its size in memory.
     """
-    return df.hint("rebalance")
+    return df.hint("rebalance").hint("merge")
 
 
 def forget(df: DataFrame) -> None:

@@ -198,7 +198,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     sketched = written(sketches(df.where(F.col(doc_id).isNotNull()), text, doc_id), "sketches")
     met = written(probes(sketched), "probes")
     groups = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = met.join(dealt_anew(groups).hint("merge"), "key")  # sorted at any size: a hot key's side can be split
+    members = met.join(dealt_anew(groups), "key")
     members = written(members.join(sketched.select("doc_id", "fp").dropDuplicates(["doc_id"]), "doc_id"), "members")
     forget(met)
     degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
