@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.test_operators import city
-from tracefold.plans import catalogue, config, experiment, registry, report
+from tracefold.plans import catalogue, config, evidence, experiment, registry, report
 from tracefold.sources import results, trajectories
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,6 +121,19 @@ def test_experiment(spark, world):
     assert report.epsilon_points(loaded).count() and report.knowledge_points(loaded).count() and report.runtime_bars(loaded).count()
 
 
+def test_evidence(spark):
+    nodes, edges = city(spark, 5)
+    routes = evidence.seed_population(spark, edges, 8, 3, 1).collect()
+    ends = {r.edge_id: (r.u, r.v) for r in edges.collect()}
+    assert len(routes) == 8 and all(len(r.edge_seq) >= 3 and all(ends[a][1] == ends[b][0] for a, b in zip(r.edge_seq, r.edge_seq[1:])) for r in routes)
+    with pytest.raises(ValueError):
+        evidence.seed_population(spark, edges, 3, 99, 1, tries=2)
+    rows = evidence.evidence(spark, nodes, edges, [8.0], shadows=4, population=8, min_edges=3, grid=3)
+    by = {r.arm: r for r in rows.collect()}
+    assert set(by) == {"rn_ldp_synth", "markov"} and all(0 <= r.auc <= 1 and 0 <= r.jsd <= 1 and r.length_w1_m >= 0 for r in by.values())
+    assert evidence.evidence_table(rows).count("|") == 24
+
+
 def test_hashes(world):
     raw = raw_config(world)
     a = config.parse(raw)

@@ -30,6 +30,16 @@ def as_cells(arrays: DataFrame, grid: Grid) -> DataFrame:
     return arrays.select("traj_id", "user_id", F.transform("points", lambda p: grid.cell(p["lat"], p["lon"]).cast("string")).alias("seq"))
 
 
+def as_graph_path(df: DataFrame) -> DataFrame:
+    """Not built: no operator reads node paths."""
+    raise NotImplementedError("the graph path view is not built")
+
+
+def as_poi_visits(df: DataFrame, layer: DataFrame) -> DataFrame:
+    """Not built: there is no layer of points of interest."""
+    raise NotImplementedError("the view of visits to points of interest is not built")
+
+
 def collapse(df: DataFrame, column: str = "seq") -> DataFrame:
     """Without elements equal to the one before."""
     seq = F.col(column)
