@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds; a longer document makes a pass of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Words are runs of anything but these bytes (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
