@@ -1,6 +1,7 @@
 """Exact, substring and near-duplicate operators against plain versions."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -175,3 +176,27 @@ def test_similar_documents(make):
     got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(make(rows)).collect() if r.doc_id != r.component_id}
     assert got <= want and len(got) >= 0.95 * len(want)
     assert simhash.similar_documents(make([])).count() == 0
+
+
+def brute_links(rows, shingle=5, similarity=0.8):
+    sets = []
+    for _, t, *_ in rows:
+        w = lower(t or "").split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] and sets[b]]
+    return [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+def test_similar_documents_at_the_bound(make):
+    """Isolated pairs of a Jaccard similarity of 0.80 to 0.85, one passage replaced: none is lost."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(60):
+        w, at, n = text(300), rng.randrange(250), rng.randint(22, 28)
+        rows += [(2 * k, " ".join(w), None, None), (2 * k + 1, " ".join(w[:at] + text(n) + w[at + n :]), None, None)]
+    rows += [(200 + k, t, None, None) for k, t in enumerate(["one two", "ONE two", "one", "a b c d e f", "a b c d e f g", "a b c d e f x"])]
+    root = roots({i for i, *_ in rows}, [(rows[a][0], rows[b][0]) for a, b in brute_links(rows)])
+    want = {(i, r) for i, r in root.items() if i != r}
+    assert len(want) > 45
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(make(rows)).collect() if r.doc_id != r.component_id} == want

@@ -12,16 +12,15 @@ fingerprint and are one node from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, dealt_anew, flat, forget, gram_hashes, map_text, span_hashes, words_of, written
+from .common import dealt_anew, flat, gram_hashes, map_text, span_hashes, words_of, written
 from .components import components
 
 SEED = 42
@@ -29,10 +28,6 @@ BITS = 64
 SHARED_BLOCKS = 3
 #: Bytes of hash bits that one pass of counting expands.
 PASS = 1 << 16
-#: Probing: halves of a fingerprint that serve as blocks, and the least certain bits of each that may be wrong.
-HALVES, WEAK = 2, 6
-#: Words of the shingles that candidates are found by, and bits that candidates may differ in.
-BLOCK_SHINGLE, MOST_BITS = 3, 18
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -110,65 +105,11 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, text: st
     return docs.join(dealt_anew(of_fp), "fp").select("doc_id", "fp", "component_id")
 
 
-def _margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(margins [document, bit], words by document): how far each bit's votes lead, of hashed word shingles."""
-    starts, ends, docs = words_of(data, offsets)
-    bounds = np.searchsorted(starts, offsets)
-    h = span_hashes(data, starts, ends)
-    grams = gram_hashes(h, shingle).astype("<u8")
-    out = np.zeros((len(offsets) - 1, BITS), np.int64)
-    for d, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
-        own = grams[a : b - shingle + 1] if b - a >= shingle else gram_hashes(h[a:b], b - a).astype("<u8") if b > a else grams[:0]
-        for x in range(0, len(own), PASS):
-            part = own[x : x + PASS]
-            out[d] += 2 * np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) - len(part)
-    return out, np.diff(bounds)
-
-
-def sketches(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, weak): fingerprint, and the places of the WEAK least certain bits of each half, of the documents with a word."""
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = flat(batch.column(text))
-        margins, words = _margins(_FOLD[data], offsets, BLOCK_SHINGLE)
-        some = np.flatnonzero(words)
-        margins = margins[some]
-        fp = np.packbits((margins > 0).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
-        halves = np.abs(margins).reshape(len(some), HALVES, BITS // HALVES)
-        weak = np.argsort(halves, axis=2, kind="stable")[:, :, :WEAK].astype(np.uint8)
-        return pa.RecordBatch.from_arrays([batch.column(doc_id).take(pa.array(some)), pa.array(fp), pa.array([w.tobytes() for w in weak], pa.binary())], ["doc_id", "fp", "weak"])
-
-    return map_text(df, each, "doc_id long, fp long, weak binary", [doc_id, text], text)
-
-
-def probes(sketched: DataFrame) -> DataFrame:
-    """(key, doc_id): either half of each fingerprint with any of its least certain bits flipped."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subsets = (np.arange(1 << WEAK)[:, None] >> np.arange(WEAK) & 1).astype(np.uint64)
-        width = BITS // HALVES
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                fp = np.asarray(batch.column("fp")).view(np.uint64)
-                weak = np.frombuffer(b"".join(batch.column("weak").to_pylist()), np.uint8).reshape(-1, HALVES, WEAK).astype(np.uint64)
-                keys = []
-                for half in range(HALVES):
-                    flips = ((np.uint64(1) << weak[:, half]) @ subsets.T).astype(np.uint64)
-                    own = fp >> np.uint64(half * width) & np.uint64((1 << width) - 1)
-                    keys.append((own[:, None] ^ flips) | np.uint64(half) << np.uint64(width))
-                keys = np.concatenate(keys, 1)
-                own = pa.array(np.repeat(np.arange(len(fp)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), batch.column("doc_id").take(own)], ["key", "doc_id"])
-
-    return sketched.mapInArrow(apply, "key long, doc_id long")
-
-
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 
 
-def shingle_sets(df: DataFrame, shingle: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, grams): the hashes of each document's different word shingles."""
+def shingle_sets(df: DataFrame, shingle: int, text: str = "text", node: str = "node") -> DataFrame:
+    """(node, grams): the hashes of each document's different word shingles."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = flat(batch.column(text))
@@ -178,40 +119,65 @@ def shingle_sets(df: DataFrame, shingle: int, text: str = "text", doc_id: str =
         h = span_hashes(low, starts, ends)
         sets = [np.unique(gram_hashes(h[a:b], min(shingle, b - a))) if b > a else h[:0] for a, b in zip(bounds, bounds[1:])]
         ends_ = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(doc_id), pa.ListArray.from_arrays(pa.array(ends_), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "grams"])
+        return pa.RecordBatch.from_arrays([batch.column(node), pa.ListArray.from_arrays(pa.array(ends_), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "grams"])
+
+    return map_text(df, each, "node long, grams array<long>", [node, text], text)
+
+
+def _prefix(share: float):
+    """Shingles that a document must be searched by, where `share` of its `size` must be met: one more than may be missed."""
+    return F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
 
-    return map_text(df, each, "doc_id long, grams array<long>", [doc_id, text], text)
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, gram, size, at, n, low): the shingles of each document's prefix that other documents have too.
+
+    A document's shingles are ordered by the documents n that have them (then by hash), so
+    the prefix holds the rarest; at is a shingle's place in the order. Of two documents of
+    the similarity, the prefix of the larger and the low part of the smaller's share a
+    shingle: none is lost. Shingles of one document take the first places and meet nothing.
+    """
+    held = sets.select("node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    shared = held.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
+    own = Window.partitionBy("node")
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "gram")) - 1
+    return shared.withColumn("at", at).where(F.col("at") < _prefix(similarity)).withColumn("low", F.col("at") < _prefix(2 * similarity / (1 + similarity)))
+
+
+def star_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the documents of each shingle with two of them, the one of most company and the first."""
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = met.join(dealt_anew(degree), "node")
+    hub = ranked.groupBy("gram").agg(F.max(F.struct("degree", "node", "size")).alias("hub"), F.min(F.struct("node", "size")).alias("first"))
+    ends = dealt_anew(hub).select("gram", F.array(F.struct("hub.node", "hub.size"), F.struct("first.node", "first.size")).alias("ends"))
+    sides = met.select("gram", "node", "size").join(ends, "gram").select("node", "size", F.inline("ends").alias("v", "size_v"))
+    sides = sides.where("node <> v").where(F.least("size", "size_v") >= similarity * F.greatest("size", "size_v") - 1e-9)
+    return sides.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+
+
+def similar_pairs(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
+    """The pairs (u, v) whose shingles have the Jaccard similarity. keyed: (node, text)."""
+    pairs = written(pairs, "pairs")
+    # written, so that the planner knows its size before it decides whether the texts must travel
+    asked = written(pairs.select(F.col("u").alias("__node")).union(pairs.select(F.col("v").alias("__node"))).distinct(), "asked")
+    sets = written(shingle_sets(keyed.join(asked, F.col("node") == F.col("__node"), "left_semi"), shingle, text).dropDuplicates(["node"]), "sets")
+    a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in ("u", "v"))
+    shared = F.size(F.array_intersect("gu", "gv"))
+    close = pairs.join(a, "u").join(b, "v").where(shared >= similarity * (F.size("gu") + F.size("gv") - shared)).select("u", "v")
+    return written(close, "links")
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of the documents linked to others; component_id is the smallest id reachable.
 
     Links are pairs whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity
-    of `similarity` or more. Such pairs differ in more bits than whole blocks can bear, so
-    the blocks are probed: each half of a fingerprint also stands under the keys that
-    flip its least certain bits, which are those that an edit turns. A key's documents
-    are compared with two of them, the one met under most keys and the one of the
-    smallest id, never in pairs; what differs in few bits is verified by its shingles.
+    of `similarity` or more. Candidates come from prefixes of rare shingles, which lose no
+    pair, and are verified by all their shingles. A shingle's documents are compared with
+    two of them, the one of most company and the first.
     Ids must be whole numbers; rows without id or word are not linked; repeated ids count
     as one document. Texts may be of any length.
     """
-    sketched = written(sketches(df.where(F.col(doc_id).isNotNull()), text, doc_id), "sketches")
-    met = written(probes(sketched), "probes")
-    groups = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = met.join(dealt_anew(groups), "key")
-    members = written(members.join(sketched.select("doc_id", "fp").dropDuplicates(["doc_id"]), "doc_id"), "members")
-    forget(met)
-    degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    ranked = members.join(dealt_anew(degree), "doc_id")
-    hub = ranked.groupBy("key").agg(F.max(F.struct("degree", "doc_id", "fp")).alias("hub"), F.min(F.struct("doc_id", "fp")).alias("first"))
-    sides = members.select("key", "doc_id", "fp").join(dealt_anew(hub).select("key", F.array(F.struct("hub.doc_id", "hub.fp"), F.struct("first.doc_id", "first.fp")).alias("ends")), "key")
-    ends = sides.select("doc_id", "fp", F.inline("ends").alias("v", "fp_v")).where("doc_id <> v").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_v"))) <= MOST_BITS)
-    pairs = written(ends.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct(), "pairs")
-    forget(members)
-    # written, so that the planner knows its size before it decides whether the texts must travel
-    asked = written(pairs.select(F.col("u").alias("__id")).union(pairs.select(F.col("v").alias("__id"))).distinct(), "asked")
-    sets = written(shingle_sets(df.select(doc_id, text).join(asked, F.col(doc_id) == F.col("__id"), "left_semi"), shingle, text, doc_id).dropDuplicates(["doc_id"]), "sets")
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"g{c}")) for c in ("u", "v"))
-    shared = F.size(F.array_intersect("gu", "gv"))
-    close = pairs.join(a, "u").join(b, "v").where(shared >= similarity * (F.size("gu") + F.size("gv") - shared)).select("u", "v")
-    return components(written(close, "links")).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+    keyed = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), text)
+    met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
+    close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
+    return components(close).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
