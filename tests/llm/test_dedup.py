@@ -200,3 +200,16 @@ def test_similar_documents_at_the_bound(make):
     want = {(i, r) for i, r in root.items() if i != r}
     assert len(want) > 45
     assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(make(rows)).collect() if r.doc_id != r.component_id} == want
+
+
+def test_similar_documents_beside_a_hub(make):
+    """Chains of sliding windows, similar to the next only: pairs of which neither is a shingle's hub or first."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(6):
+        w, step = [f"w{rng.randrange(5000)}" for _ in range(1000)], rng.randint(18, 20)
+        order = rng.sample(range(40), 40)
+        rows += [(1000 * k + i, " ".join(w[step * at : step * at + 204]), None, None) for at, i in enumerate(order)]
+    root = roots({i for i, *_ in rows}, [(rows[a][0], rows[b][0]) for a, b in brute_links(rows)])
+    want = {(i, r) for i, r in root.items() if i != r}
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(make(rows)).collect() if r.doc_id != r.component_id} == want

@@ -155,6 +155,28 @@ def star_pairs(met: DataFrame, similarity: float) -> DataFrame:
     return sides.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
+def open_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all documents of a shingle that are not known to be of one component, as far as their sizes and places allow.
+
+    A shingle's most frequent component is never paired with itself, so a large group that
+    the stars have linked costs its size, not its square.
+    """
+    members = met.join(roots.select(F.col("node").alias("__node"), "root"), F.col("node") == F.col("__node"), "left").select("gram", "node", "size", "at", "low", F.coalesce("root", "node").alias("root"))
+    members = written(members, "members")
+    kinds = members.groupBy("gram", "root").agg(F.count("*").alias("n"), F.max("low").alias("low"))
+    # "open" where several components meet and one document of the low part does
+    several = kinds.groupBy("gram").agg(F.max(F.struct("n", "root")).alias("major"), F.count("*").alias("kinds"), F.max("low").alias("any")).where("kinds > 1 AND any")
+    several = dealt_anew(several.select("gram", F.col("major.root").alias("major")))
+    members = written(members.join(several, "gram").select("gram", "node", "size", "at", "low", "root", (F.col("root") != F.col("major")).alias("rest")), "open")
+    u = members.where("low").select("gram", *[F.col(c).alias(f"{c}_u") for c in ("node", "size", "at", "root", "rest")])
+    v = members.select("gram", *[F.col(c).alias(f"{c}_v") for c in ("node", "size", "at", "root", "rest")])
+    # the smaller is u; at their first common shingle no more than what follows on either side can be shared
+    fit = (F.col("size_u") <= F.col("size_v")) & (F.col("size_u") >= similarity * F.col("size_v") - 1e-9) & (F.col("root_u") != F.col("root_v"))
+    fit &= F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v")) >= similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    met_by = [x.hint("merge").join(y.hint("merge"), "gram").where(fit).select("node_u", "node_v") for x, y in ((u.where("rest_u"), v), (u.where("NOT rest_u"), v.where("rest_v")))]
+    return met_by[0].union(met_by[1]).select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
+
+
 def similar_pairs(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
     """The pairs (u, v) whose shingles have the Jaccard similarity. keyed: (node, text)."""
     pairs = written(pairs, "pairs")
@@ -172,12 +194,14 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Links are pairs whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity
     of `similarity` or more. Candidates come from prefixes of rare shingles, which lose no
-    pair, and are verified by all their shingles. A shingle's documents are compared with
-    two of them, the one of most company and the first.
+    pair, and are verified by all their shingles. A shingle's documents are first compared
+    with two of them, the one of most company and the first; whatever those comparisons
+    did not join is then compared in pairs, so that the components are those of all pairs.
     Ids must be whole numbers; rows without id or word are not linked; repeated ids count
     as one document. Texts may be of any length.
     """
     keyed = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), text)
     met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
     close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
-    return components(close).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+    others = similar_pairs(keyed, open_pairs(met, components(close), similarity), shingle, similarity, text)
+    return components(close.union(others)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
