@@ -43,6 +43,19 @@ def test_divergence(make):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in report.items() if r.kept}
 
 
+@pytest.mark.parametrize("common", [0.3, 0.38])
+def test_few_common_words(make, common):
+    """Texts with next to no common word are rejected whatever share of a language its common words have; others stay."""
+    rng = random.Random(7)
+    often = [f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(64)]
+    rare = lambda: "".join(rng.choice("bdfghjklmnprstvz") for _ in range(7))
+    text = lambda share, n: " ".join(rng.choice(often) if rng.random() < share else rare() for _ in range(n))
+    rows = [(k, text(common, 300), "en", "s") for k in range(150)]
+    rows += [(200 + k, " ".join([often[k], *(rare() for _ in range(199))]), "en", "s") for k in range(3)]
+    kept = {r.doc_id for r in quality.quality_report(make(rows)).where("kept").collect()}
+    assert kept == set(range(150))
+
+
 def test_js_distance():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.0, 1.0])
     assert quality.js_distance(p, p) == 0 and abs(quality.js_distance(p, q) - 1) < 1e-12

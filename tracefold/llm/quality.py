@@ -45,9 +45,10 @@ class Rules:
     max_repeat: float = 0.30
     #: Documents of fewer words are not held against the references.
     guard_words: int = 50
-    #: Jensen-Shannon distances (0 to 1) above which a document is unlike every language.
+    #: Jensen-Shannon distance (0 to 1) of classes above which a document is unlike every language.
     max_class_distance: float = 0.29
-    max_word_distance: float = 0.465
+    #: The same of words, as a share of the distance that a text without any common word of the language has.
+    max_word_share: float = 0.93
     class_refs: np.ndarray = field(default_factory=lambda: np.zeros((0, CLASSES)))
     word_refs: np.ndarray = field(default_factory=lambda: np.zeros((0, COMMON + 1)))
     common: np.ndarray = field(default_factory=lambda: np.zeros((0, COMMON), np.int64))
@@ -160,21 +161,23 @@ def measure(batch: pa.RecordBatch, rules: Rules, text: str) -> dict[str, np.ndar
     out["n_dup_lines"] = dup
     out["n_repeat_words"] = repeated_words(texts, span_hashes(data, starts, ends), docs, bounds)
     out["base_failed"] = (n_words < rules.min_words) | (100 * out["n_repeat_words"] > round(100 * rules.max_repeat) * n_words)
-    far_class, far_word = np.zeros(n), np.zeros(n)
+    far_class, far_word, far_share = np.zeros(n), np.zeros(n), np.zeros(n)
     if len(rules.class_refs):
         p = counts / np.maximum(1, counts.sum(1, keepdims=True))
         far_class = js_distance(p[:, None, :], rules.class_refs[None]).min(1)
         doc, bins = word_bins(data, offsets)
         total = np.bincount(doc, minlength=n)
-        best = np.full(n, np.inf)
+        best, share = np.full(n, np.inf), np.full(n, np.inf)
+        none = np.eye(COMMON + 1)[-1]
         for common, ref in zip(rules.common, rules.word_refs):
             slot = np.full(BINS, COMMON)
             slot[common] = np.arange(COMMON)
             q = np.bincount(doc * (COMMON + 1) + slot[bins], minlength=n * (COMMON + 1)).reshape(n, COMMON + 1) / np.maximum(1, total)[:, None]
-            best = np.minimum(best, js_distance(q, ref[None]))
-        far_word = np.where(total > 0, best, 1.0)
+            distance = js_distance(q, ref[None])
+            best, share = np.minimum(best, distance), np.minimum(share, distance / js_distance(none, ref))
+        far_word, far_share = np.where(total > 0, best, 1.0), np.where(total > 0, share, 1.0)
     out["class_distance"], out["word_distance"] = far_class, far_word
-    unlike = (n_words >= rules.guard_words) & ((far_class > rules.max_class_distance) | (far_word > rules.max_word_distance))
+    unlike = (n_words >= rules.guard_words) & ((far_class > rules.max_class_distance) | (far_share > rules.max_word_share))
     out["kept"] = ~out["base_failed"] & ~unlike
     return out
 
