@@ -108,6 +108,11 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, text: st
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 
 
+def row_node(doc_id: str = "doc_id", text: str = "text"):
+    """What a row is known by: a hash of its id and text."""
+    return F.xxhash64(F.col(doc_id).isNull(), doc_id, text)
+
+
 def shingle_sets(df: DataFrame, shingle: int, text: str = "text", node: str = "node") -> DataFrame:
     """(node, grams): the hashes of each document's different word shingles."""
 
@@ -190,18 +195,25 @@ def similar_pairs(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity:
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) of the documents linked to others; component_id is the smallest id reachable.
+    """(doc_id, node, component_id, kept) of the rows linked to others; component_id is the smallest id reachable, kept marks its row.
 
     Links are pairs whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity
     of `similarity` or more. Candidates come from prefixes of rare shingles, which lose no
     pair, and are verified by all their shingles. A shingle's documents are first compared
     with two of them, the one of most company and the first; whatever those comparisons
     did not join is then compared in pairs, so that the components are those of all pairs.
-    Ids must be whole numbers; rows without id or word are not linked; repeated ids count
-    as one document. Texts may be of any length.
+    A row is known by its node (`row_node`), so rows without id are linked like others, and
+    rows that repeat an id with different texts are searched each; of the smallest id's rows
+    one is kept, and an id of null counts as the largest. Repeated rows (same id and text)
+    are one node; rows without word are not linked. Texts may be of any length.
     """
-    keyed = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), text)
+    keyed = df.select(row_node(doc_id, text).alias("node"), text)
     met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
     close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
     others = similar_pairs(keyed, open_pairs(met, components(close), similarity), shingle, similarity, text)
-    return components(close.union(others)).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+    roots = components(close.union(others))
+    ids = df.select(F.col(doc_id).alias("doc_id"), row_node(doc_id, text).alias("node")).join(roots, "node").distinct()
+    ids = written(ids.select("doc_id", "node", "root"), "rows")
+    least = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node")).alias("least"))
+    found = ids.join(dealt_anew(least), "root")
+    return found.select("doc_id", "node", F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("kept"))
