@@ -4,11 +4,14 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tracefold.llm import exact_dedup, simhash, suffix_dedup, superkmer, windows
+from tracefold.llm.common import flat
 from tracefold.llm.components import components
 
 
@@ -59,10 +62,11 @@ def brute_bytes(rows, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_bytes(make, corpus, monkeypatch, hot):
-    """A low bound of HOT sends windows one by one: equal results."""
+@pytest.mark.parametrize("hot, many", [(2000, 2000), (2, 1)])
+def test_bytes(make, corpus, monkeypatch, hot, many):
+    """Low bounds cut the windows of most buckets anew by longer grams, and join most keys by broadcast: equal results."""
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "MANY_ROWS", many)
     want = brute_bytes(corpus, 24)
     got = suffix_dedup.remove_repeated_bytes(make(corpus), 24, 8, with_bytes=True).collect()
     rows = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
@@ -70,18 +74,56 @@ def test_bytes(make, corpus, monkeypatch, hot):
     assert suffix_dedup.remove_repeated_bytes(make([]), 24, 8).count() == 0
 
 
-def test_merge_is_a_sort():
-    """Interleaved transforms stand in the order of their suffixes' first symbols, in blocks of equal ones."""
-    import numpy as np
-
+def test_merge_against_sorting():
+    """Interleaved transforms: the repeated prefixes in sorted order, in blocks of equal ones, and every row's longest common prefix."""
     rng = np.random.default_rng(2)
-    shards = [np.append(rng.integers(97, 99, n), suffix_dedup.END).astype(np.uint8) for n in (50, 80, 30)]
-    orders = [suffix_dedup.suffix_order(s, 64) for s in shards]
-    rows, block = suffix_dedup.merge([suffix_dedup.transform(s, o) for s, o in zip(shards, orders)], 13)
-    tops = [bytes(np.roll(s, -p)[:13]) for s, o in zip(shards, orders) for p in o]
-    merged = [tops[r] for r in rows]
-    assert merged == sorted(merged)
-    assert [merged[b] for b in block] == merged and len(set(merged)) == len(set(block.tolist()))
+    for width in (8, 13):
+        texts = [[bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in sizes] for sizes in ((30, 9, 1), (80,), (25, 0, 13))]
+        shards = [np.frombuffer(b"".join(x + bytes([suffix_dedup.END]) for x in part), np.uint8) for part in texts]
+        orders = [suffix_dedup.suffix_order(s, width) for s in shards]
+        rows, block, common = suffix_dedup.merge([suffix_dedup.transform(s, o) for s, o in zip(shards, orders)], width)
+        tops = [bytes(np.roll(s, -p)).split(bytes([suffix_dedup.END]))[0] for s, o in zip(shards, orders) for p in o]
+        seen = Counter(t[:width] for t in tops if len(t) >= width)
+        merged = [tops[r][:width] for r in rows]
+        assert merged == sorted(t[:width] for t in tops if len(t) >= width and seen[t[:width]] > 1)
+        assert len({*zip(merged, block.tolist())}) == len(set(merged)) == len(set(block.tolist()))
+        times = Counter(t[:k] for t in tops for k in range(1, len(t) + 1))
+        for t, c in zip(tops, common.tolist()):
+            longest = max((k for k in range(1, min(width, len(t)) + 1) if times[t[:k]] > 1), default=0)
+            assert c == (longest if longest == width else longest // 2 * 2)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_long_documents_in_slices(monkeypatch, words):
+    """The slices of a document have all its windows once, whatever their length."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(n)) for n in (0, 3, 200, 1, 90)]
+    data, offsets = flat(pa.array(texts))
+    cut = windows.Cut(9, 3, words)
+
+    def found():
+        text, starts, ends, bounds = windows.units(data, offsets, cut)
+        parts = [(int(d), int(a) + k) for own, start, n, *_ in windows.runs_of(text, starts, ends, bounds, None, cut, 3) for d, a, c in zip(own, start, n) for k in range(c)]
+        sizes = np.diff(bounds)
+        return sorted(parts), [(d, k) for d, size in enumerate(sizes) for k in range(max(0, size - 8))]
+
+    whole, want = found()
+    monkeypatch.setattr(windows, "SLICE", 16)
+    assert found()[0] == whole == want
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(make):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64; no window of the two documents is shared."""
+    one = thue_morse(1024)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*words[:20], w, *words[20:]]), "en", "a") for k, w in enumerate((one, one.translate(str.maketrans("ab", "ba"))))]
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in superkmer.remove_repeated_windows(make(rows)).collect()} == {(0, 41, 0), (1, 41, 0)}
+    want = brute_bytes(rows, 24)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeated_bytes(make(rows), 24, 8).collect()} == {(i, *want[i, t.encode()]) for i, t, *_ in rows}
 
 
 def brute_words(rows, width):
@@ -100,9 +142,10 @@ def brute_words(rows, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_words(make, corpus, monkeypatch, hot):
+@pytest.mark.parametrize("hot, many", [(2000, 2000), (2, 1)])
+def test_words(make, corpus, monkeypatch, hot, many):
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "MANY_ROWS", many)
     got = superkmer.remove_repeated_windows(make(corpus), 9, 3).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(corpus, 9)
     assert superkmer.remove_repeated_windows(make([]), 9, 3).count() == 0

@@ -27,10 +27,12 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session may leave it unset and gets one of its own."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("tracefold.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracefold-')}"
         spark.conf.set("tracefold.shared.dir", found)
     return found.rstrip("/")
@@ -70,7 +72,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
-        group = np.cumsum(sizes) // limit
+        large = sizes > limit  # stands alone
+        group = np.cumsum(sizes) // limit + np.cumsum(large) + np.cumsum(np.concatenate([[False], large[:-1]]))
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

@@ -1,12 +1,15 @@
 """Substring deduplication on bytes by merging shard Burrows-Wheeler transforms.
 
 windows.py brings strings that may share windows together in buckets. There, shards of
-strings are each suffix-sorted once and kept as a Burrows-Wheeler transform. Shards are
-then merged without sorting suffixes again: the interleave of their rows starts from the
-first bytes and is refined in rounds, each of which doubles the length compared by
-following the transforms' own successor mapping; rows within a shard stay in their order,
-so a round merges sorted runs. Rows that still agree at the window's length are the
-repeated intervals.
+strings are each suffix-sorted on their own and kept as a Burrows-Wheeler transform. The
+shards' rows are then interleaved by refinement, without sorting suffixes across shards:
+the interleave starts as one shard after the other; each round steps every row to its
+predecessor (the transform's last-to-first mapping) in the stable order of the symbols
+passed, which are one byte or two, and splits blocks where symbols or former blocks
+differ. After h symbols a block holds the rows with a common prefix of h symbols, in
+merged order. A row that is alone in its block has its longest common prefix and is left
+out of later rounds; rows still in company at the window's length are the repeated
+intervals.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, flat, ragged
+from .common import chunks, flat
 from .windows import Cut, covered, marked, removed_spans, with_spans
 
 WIDTH, GRAM = 100, 32
 #: Ends every string; not a byte of UTF-8.
 END = 0xFF
-SHARD_BYTES = 1 << 17
-#: Bytes by which rows are first compared: one machine word.
+SHARD_BYTES = 1 << 15
+#: Bytes by which a shard's suffixes are first compared: one machine word.
 FIRST = 8
 
 
@@ -36,11 +39,11 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     for j in range(FIRST):
         key = key << np.uint64(8) | np.roll(symbols, -j).astype(np.uint64)
     span = FIRST
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = _dense(key, order)
     while span < depth and rank[order[-1]] < n - 1:
         key = rank * n + np.roll(rank, -span)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = _dense(key, order)
         span *= 2
     return order
@@ -58,58 +61,44 @@ def transform(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     return symbols[order - 1]
 
 
-def successor(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first symbols, successor rows) from a transform alone: its stable sort."""
-    psi = np.argsort(bwt, kind="stable")
-    return bwt[psi], psi
+def last_to_first(bwt: np.ndarray) -> np.ndarray:
+    """The row of the suffix one symbol longer, for each row, from the transform alone."""
+    out = np.empty(len(bwt), np.int64)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    return out
 
 
-def merge(transforms: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave the rows of all transforms by their first `width` (at least FIRST) symbols.
+def merge(transforms: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave the rows of all transforms by their first `width` symbols, as far as they are shared.
 
-    Returns (rows, block): row numbers (shards one after the other) in merged order, and
-    for each place the first place of its block; rows of a block have a common prefix of
-    `width` symbols, and neighbouring blocks do not.
+    Rows are numbered shard after shard; every shard is sorted by `width` symbols at
+    least. Returns (rows, block, common): the rows whose first `width` symbols occur again,
+    in merged order; their blocks, numbers that grow along it; and for every row the
+    symbols compared while it still had company (a multiple of two, or width): its longest
+    common prefix with any other, rounded down. No prefix goes beyond an END.
     """
     base = np.cumsum([0, *map(len, transforms)])
-    parts = [successor(b) for b in transforms]
-    psi = np.concatenate([p + lo for (_, p), lo in zip(parts, base)])
-    word = np.concatenate([f for f, _ in parts]).astype(np.uint64)
-    steps = {1: psi}
-    span = 1
-    while span < FIRST:
-        word = word << np.uint64(8 * span) | word[steps[span]]
-        steps[2 * span] = steps[span][steps[span]]
-        span *= 2
-    rows = np.argsort(word, kind="stable")
-    now = word[rows]
-    fresh = np.concatenate([[True], now[1:] != now[:-1]])
-    n = len(rows)
-    block = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    while span < width:
-        by = min(span, width - span)
-        jump, left = None, by
-        for k in sorted(steps, reverse=True):
-            while left >= k:
-                jump = steps[k] if jump is None else steps[k][jump]
-                left -= k
-        of_row = np.empty(n, np.int64)
-        of_row[rows] = block
-        size = np.bincount(block, minlength=n)
-        open_ = np.flatnonzero(size[block] > 1)  # settled rows are left alone
-        if not len(open_):
-            break
-        here = rows[open_]
-        key = block[open_] * n + of_row[jump[here]]
-        order = np.argsort(key, kind="stable")
-        rows[open_] = here[order]
-        key = key[order]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        block[open_] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-        span += by
-        if span < width and by == span // 2:
-            steps[span] = steps[by][steps[by]]
-    return rows, block
+    before = np.concatenate(transforms)
+    back = np.concatenate([last_to_first(b) + lo for b, lo in zip(transforms, base)])
+    steps = {1: (before, back), 2: (before[back].astype(np.uint16) << np.uint16(8) | before, back[back])}
+    ended = {1: before == END, 2: (before == END) | (before[back] == END)}
+    common = np.zeros(len(before), np.int32)
+    rows, block, done = np.arange(len(before)), np.zeros(len(before), np.int64), 0
+    while done < width and len(rows):
+        by = min(2, width - done)
+        symbol, to = steps[by]
+        live = ~ended[by][rows]
+        rows, block = rows[live], block[live]
+        key = symbol[rows]
+        order = np.argsort(key, kind="stable")  # a counting sort: keys have 16 bits at most
+        key, block = key[order], block[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])[: len(key)])
+        size = np.diff(np.append(fresh, len(key)))
+        company = np.repeat(size > 1, size)
+        rows, block = to[rows[order[company]]], np.repeat(np.arange(len(size)), size)[company]
+        done += by
+        common[rows] = done
+    return rows, block, common
 
 
 class MergeTransforms:
@@ -123,28 +112,25 @@ class MergeTransforms:
         sizes = np.array([len(x) + 1 for x in packed], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])
         symbols = np.frombuffer(bytes([END]).join(packed) + bytes([END]), np.uint8)
-        group = begin[:-1] // SHARD_BYTES
+        group = begin[:-1] // min(SHARD_BYTES, max(1, len(symbols) // 2))
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(packed)]
         transforms, places = [], []
         for a, b in zip(cuts, cuts[1:]):
             shard = symbols[begin[a] : begin[b]]
-            order = suffix_order(shard, 2 * self.width)
+            order = suffix_order(shard, self.width)
             transforms.append(transform(shard, order))
             places.append(order + begin[a])
-        merged, block = merge(transforms, self.width)
-        place = np.concatenate(places)[merged]
+        shared, block, _ = merge(transforms, self.width)
+        place = np.concatenate(places)[shared]
         string = np.searchsorted(begin, place, "right") - 1
         offset = place - begin[string]
-        windows = sizes - self.width
-        full = offset < windows[string]
-        string, offset, block = string[full], offset[full], block[full]
         doc, start = _order(rows)
         order = np.lexsort((start[string] + offset, doc[string], block))
         block, string, offset = block[order], string[order], offset[order]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], block[1:] != block[:-1]]), np.arange(len(block)), 0))
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)], np.arange(len(block)), 0))
         position = start[string] + offset
         again = (doc[string] != doc[string[head]]) | (position != position[head])  # a repeated row's copy of the first is no later one
-        bounds = np.concatenate([[0], np.cumsum(windows)])
+        bounds = np.concatenate([[0], np.cumsum(sizes - self.width)])
         flags = np.zeros(int(bounds[-1]), bool)
         flags[bounds[string[again]] + offset[again]] = True
         return marked(rows, flags, bounds)

@@ -1,25 +1,31 @@
 """Repeated windows of a corpus, exactly, by minimisers: what the two substring operators share.
 
 A window is `width` consecutive units (words or bytes) of one document. Its minimiser is
-the leftmost least-ranked gram of `gram` units in it, so equal windows have equal
+the leftmost least-ranked gram of some units in it, so equal windows have equal
 minimisers at equal places. Consecutive windows that share a minimiser occurrence form a
-run, which can travel as one packed string of its units.
+run, which can travel as one packed string of its units (words: joined by one space).
 
-1. cut: every document gives its runs as (minimiser hash, content hash, document, start,
-   windows): some 40 bytes for each `(width - gram) / 2` units. No text travels.
+1. cut: every document gives its runs as (minimiser hash, 128-bit digest of the packed
+   string, document, start, windows). No text travels. Long documents are cut in slices
+   that overlap by a window, so memory doesn't follow the longest document.
 2. A window can only repeat if its minimiser occurs again, so only runs whose minimiser
-   was met twice stay. Counting combines map-side; the join's hot side can be split.
-3. Runs of equal content (128 bits of hash) are one run with a least occurrence and a
-   number of occurrences, combined map-side: copies never meet as pairs.
-4. pack: where a minimiser has several different runs, the least occurrence of each
-   meets its document's text and becomes a packed string. More than HOT of them go as
-   single windows, which are combined by content, so that no bucket is unbounded.
-5. The packed strings of a minimiser meet in their bucket, where a kernel (given by the
-   operator) compares the windows of different strings.
+   was met twice stay.
+3. Copies of a packed string combine before they meet: one string with its least
+   occurrence and a number of occurrences, map-side first. Equality of whole strings goes
+   by a cryptographic digest of their bytes; equality of windows by the bytes themselves.
+4. pack: where a minimiser has several different strings, the least occurrence of each
+   meets its document's text and becomes a packed string, dealt to its minimiser's bucket.
+5. There a kernel (given by the operator) compares the windows of different strings.
+
+A minimiser with more than HOT different strings makes no bucket: its windows are cut anew
+by a longer gram (up to the whole window, whose bucket holds one string), so every window
+goes by the same method and no bucket is unbounded. Keys with very many rows are joined by
+a broadcast of those keys, of which there can't be many (`join_known`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,10 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, chunks, dealt_anew, flat, forget, ragged, runs, span_hashes, words_of, written
 
-#: Different runs of a minimiser beyond which they travel window by window.
+#: Different strings of a minimiser beyond which its windows are cut by a longer gram.
 HOT = 2000
+#: A key is joined by broadcast if it has more rows than this and than one in MOST_KEYS of all: at most MOST_KEYS keys are.
+MANY_ROWS, MOST_KEYS = 2000, 20_000
 #: Bytes of text that numpy holds at a time where units are bytes, and bytes of strings packed at a time.
 BYTES_AT_ONCE, PACKED_AT_ONCE = 1 << 19, 1 << 20
+#: Units of a long document that are cut at a time.
+SLICE = 1 << 19
 #: Bytes of packed strings that a kernel takes at a time, whole buckets of them.
 BUCKET_BYTES = 1 << 19
 
@@ -48,84 +58,115 @@ class Cut:
     words: bool
 
     @property
-    def places(self) -> int:
-        return self.width - self.gram + 1
+    def grams(self) -> tuple[int, ...]:
+        """Gram lengths of the first cut and of those of hot buckets; the last is a whole window."""
+        return tuple(sorted({self.gram, (self.gram + self.width) // 2, self.width}))
+
+    @property
+    def at_once(self) -> int:
+        return CHUNK_BYTES if self.words else BYTES_AT_ONCE
 
 
-def units(data: np.ndarray, offsets: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, document, offsets by document, hashes) of the units; a byte is its own hash."""
-    if cut.words:
-        starts, ends, docs = words_of(data, offsets)
-        return starts, ends, docs, np.searchsorted(starts, offsets), span_hashes(data, starts, ends)
-    starts = np.arange(len(data), dtype=np.int64)
-    return starts, starts + 1, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), offsets, data
+def units(data: np.ndarray, offsets: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """(bytes, starts, ends, documents' offsets in units); words stand joined by one space, bytes need no starts."""
+    if not cut.words:
+        return data, None, None, offsets
+    raw = data.tobytes()
+    joined = [b" ".join(raw[a:b].split()) + b" " for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in joined])]).astype(np.int64)
+    text = np.frombuffer(b"".join(joined), np.uint8)
+    starts, ends, _ = words_of(text, at)
+    return text, starts, ends, np.searchsorted(starts, at)
 
 
-def minimisers(grams: np.ndarray, docs: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, place of the minimiser) of the runs; windows are numbered by their first unit."""
-    n = len(docs) - cut.width + 1
+def minimisers(grams: np.ndarray, inside: np.ndarray, docs: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, place of the minimiser) of the runs of wanted windows; docs: the document of each window."""
+    n = len(inside)
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
     bits = np.uint64(max(1, int(len(grams)).bit_length()))
     key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # rank, then the leftmost place
     span, least = 1, key
-    while span * 2 <= cut.places:
+    while span * 2 <= places:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < cut.places:
-        extra = cut.places - span
+    if span < places:
+        extra = places - span
         least = np.minimum(least[:-extra], least[extra:])
     place = (least[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    inside = docs[:n] == docs[cut.width - 1 :]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | (place[1:] != place[:-1]) | (docs[1:n] != docs[: n - 1])
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | (place[1:] != place[:-1]) | (docs[1:n] != docs[: n - 1])
+    parted = ~inside[:-1] | ~inside[1:] | (place[1:] != place[:-1]) | (docs[1:] != docs[:-1])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= parted
+    last[:-1] &= parted
     a = np.flatnonzero(first)
     return a, np.flatnonzero(last) + 1 - a, place[a]
 
 
-def cut_runs(df: DataFrame, cut: Cut, text: str, doc_id: str) -> DataFrame:
-    """(m, s, doc, copy, start, windows): the runs of all documents; copy tells rows of equal id but different text apart."""
+def runs_of(data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None, bounds: np.ndarray, wanted: np.ndarray | None, cut: Cut, gram: int) -> Iterator[tuple]:
+    """(document, start, windows, minimiser hashes, digests of the packed strings as two columns), by slices of SLICE units."""
+    total = int(bounds[-1])
+    whole = memoryview(np.ascontiguousarray(data))
+    for a in range(0, max(1, total - cut.width + 1), SLICE):
+        b = min(total, a + SLICE + cut.width - 1)  # windows a .. b - width
+        n = b - a - cut.width + 1
+        if n <= 0:
+            return
+        docs = np.searchsorted(bounds, np.arange(a, b), "right") - 1
+        inside = docs[:n] == docs[cut.width - 1 :]
+        if wanted is not None:
+            inside &= wanted[a : a + n]
+        if starts is None:
+            lo, text = a, data[a:b]
+            from_, to = np.arange(b - a), np.arange(1, b - a + 1)
+        else:
+            lo = int(starts[a])
+            text = data[lo : int(ends[b - 1])]
+            from_, to = starts[a:b] - lo, ends[a:b] - lo
+        grams = span_hashes(text, from_[: len(from_) - gram + 1], to[gram - 1 :])
+        first, windows, place = minimisers(grams, inside, docs[:n], cut.width - gram + 1)
+        digests = [hashlib.blake2b(whole[x:y], digest_size=16).digest() for x, y in zip((from_[first] + lo).tolist(), (to[first + windows + cut.width - 2] + lo).tolist())]
+        s = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        own = docs[first]
+        yield own, first + a - bounds[own], windows, grams[place].view(np.int64), s[:, 0], s[:, 1]
+
+
+def cut_runs(df: DataFrame, cut: Cut, gram: int, kind: str) -> DataFrame:
+    """(m, s, z, doc, copy, start, windows) of all windows of df (doc, copy, text), or of those listed where it has a column wanted."""
+    listed = "wanted" in df.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text, CHUNK_BYTES if cut.words else BYTES_AT_ONCE):
-            data, offsets = flat(batch.column(text))
-            _, _, docs, bounds, hashes = units(data, offsets, cut)
-            at = np.arange(max(0, len(hashes) - cut.gram + 1), dtype=np.int64)
-            grams = span_hashes(hashes, at, at + cut.gram)
-            first, n, place = minimisers(grams, docs, cut)
-            content = span_hashes(hashes, first, first + n + cut.width - 1)
-            own = pa.array(docs[first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[place].view(np.int64)), pa.array(content.view(np.int64)), batch.column(doc_id).take(own), batch.column("copy").take(own), pa.array((first - bounds[docs[first]]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["m", "s", "doc", "copy", "start", "windows"],
-            )
-
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text, _copy(text)).mapInArrow(apply, f"m long, s long, doc {kind}, copy long, start int, windows int")
+        for batch in chunks(batches, "text", cut.at_once):
+            data, starts, ends, bounds = units(*flat(batch.column("text")), cut)
+            wanted = covered(bounds, batch.column("wanted")) if listed else None
+            for own, start, windows, m, s, z in runs_of(data, starts, ends, bounds, wanted, cut, gram):
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(m), pa.array(s), pa.array(z), batch.column("doc").take(at), batch.column("copy").take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
+                    ["m", "s", "z", "doc", "copy", "start", "windows"],
+                )
+
+    return df.mapInArrow(apply, f"m long, s long, z long, doc {kind}, copy long, start int, windows int")
 
 
 def _copy(text: str):
+    """Tells rows of equal id but different text apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy")
 
 
-def pack(texts: DataFrame, cut: Cut, text: str, kind: str) -> DataFrame:
-    """(m, packed, doc, copy, start, hot) of the listed runs (column runs: structs m, start, windows, hot); hot ones window by window."""
+def pack(texts: DataFrame, cut: Cut, kind: str) -> DataFrame:
+    """(m, packed, doc, copy, start) of the listed runs (column runs: structs m, start, windows)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text, CHUNK_BYTES if cut.words else BYTES_AT_ONCE):
-            data, offsets = flat(batch.column(text))
-            starts, ends, _, bounds, _ = units(data, offsets, cut)
+        for batch in chunks(batches, "text", cut.at_once):
+            data, starts, ends, bounds = units(*flat(batch.column("text")), cut)
             listed = batch.column("runs")
             row = np.repeat(np.arange(len(listed)), np.asarray(pc.list_value_length(listed)))
             inner = listed.flatten()
-            m, start, n, hot = (np.asarray(inner.field(c)) for c in ("m", "start", "windows", "hot"))
-            times = np.where(hot, n, 1).astype(np.int64)
-            at = np.repeat(np.arange(len(m)), times)
-            start = start[at] + ragged(np.zeros(len(m), np.int64), times)
-            row, m, n, hot = row[at], m[at], np.where(hot[at], 1, n[at]), hot[at]
-            lo, hi = starts[bounds[row] + start], ends[bounds[row] + start + n + cut.width - 2]
+            m, start, n = (np.asarray(inner.field(c)) for c in ("m", "start", "windows"))
+            lo = bounds[row] + start
+            hi = lo + n + cut.width - 1
+            if starts is not None:
+                lo, hi = starts[lo], ends[hi - 1]
             group = np.cumsum(hi - lo) // PACKED_AT_ONCE
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(m)]
             for a, b in zip(cuts, cuts[1:]):
@@ -136,16 +177,11 @@ def pack(texts: DataFrame, cut: Cut, text: str, kind: str) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
                 own = pa.array(row[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m[a:b]), pa.array(_joined(packed), pa.binary()) if cut.words else packed, batch.column("doc").take(own), batch.column("copy").take(own), pa.array(start[a:b].astype(np.int32)), pa.array(hot[a:b])],
-                    ["m", "packed", "doc", "copy", "start", "hot"],
+                    [pa.array(m[a:b]), packed, batch.column("doc").take(own), batch.column("copy").take(own), pa.array(start[a:b].astype(np.int32))],
+                    ["m", "packed", "doc", "copy", "start"],
                 )
 
-    return texts.select("doc", "copy", text, "runs").mapInArrow(apply, f"m long, packed binary, doc {kind}, copy long, start int, hot boolean")
-
-
-def _joined(packed: pa.Array) -> list[bytes]:
-    """Words joined by one space, whatever stood between them."""
-    return [b" ".join(x.split()) for x in packed.to_pylist()]
+    return texts.select("doc", "copy", "text", "runs").mapInArrow(apply, f"m long, packed binary, doc {kind}, copy long, start int")
 
 
 def in_buckets(strings: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], kind: str) -> DataFrame:
@@ -167,7 +203,7 @@ def in_buckets(strings: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordB
             change = np.flatnonzero(key[1:] != key[:-1]) + 1
             if not len(change):
                 continue
-            weight = np.cumsum([len(x) for x in rows.column("packed").to_pylist()])
+            weight = np.cumsum(np.asarray(pc.binary_length(rows.column("packed"))))
             begin = 0
             for c in change.tolist():
                 if weight[c - 1] - (weight[begin - 1] if begin else 0) >= BUCKET_BYTES or c == change[-1]:
@@ -182,6 +218,21 @@ def in_buckets(strings: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordB
     return strings.mapInArrow(apply, f"doc {kind}, copy long, start int, marks array<int>")
 
 
+def join_known(rows: DataFrame, known: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """rows joined with known, a written table of one row a key that has the number of the key's rows in `times`.
+
+    Keys of more than MANY_ROWS rows, and more than one in MOST_KEYS of all `total` rows,
+    come by broadcast (there can be MOST_KEYS of them at most) and their rows stay where
+    they are; all others meet by sort-merge, in which no key has more than that.
+    """
+    often = F.col(times) > max(MANY_ROWS, total // MOST_KEYS)
+    hot = known.where(often)
+    if hot.isEmpty():
+        return rows.join(dealt_anew(known), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(dealt_anew(known.where(~often)), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool, text: str, doc_id: str) -> DataFrame:
     """(doc, copy, spans): for each document the covered unit ranges [from, to), not merged.
 
@@ -189,54 +240,65 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
     otherwise every occurrence of a window met twice is.
     """
     spark, kind = df.sparkSession, df.schema[doc_id].dataType.simpleString()
-    found = written(cut_runs(df, cut, text, doc_id), "runs")
-    again = found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1").select("m")
-    again = written(found.join(dealt_anew(again), "m"), "again")
-    forget(found)
-    place = F.struct("doc", "start", "copy")
-    groups = written(again.groupBy("m", "s", "windows").agg(F.min(place).alias("first"), F.count("*").alias("times")), "groups")
-    repeated = groups.where("times > 1").select("m", "s", "first")
-    whole = again.join(repeated, ["m", "s"])
-    if first_stays:
-        whole = whole.where(~place.eqNullSafe(F.col("first")))
-    whole = whole.select("doc", "copy", "start", F.array(F.lit(0), F.col("windows")).alias("pair"))
-
-    several = groups.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
-    meeting = groups.join(dealt_anew(several), "m").select("m", "windows", "first", (F.col("n") > HOT).alias("hot"))
-    listed = meeting.groupBy(F.col("first.doc").alias("doc_"), F.col("first.copy").alias("copy_")).agg(F.collect_list(F.struct("m", "first.start", "windows", "hot")).alias("runs"))
-    texts = df.select(F.col(doc_id).alias("doc"), _copy(text), text)
-    texts = texts.join(listed, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("copy") == F.col("copy_")))
-    packed = written(pack(texts, cut, text, kind), "packed")
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = in_buckets(packed.where("NOT hot").repartition(parts, "m").sortWithinPartitions("m"), kernel, kind)
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("marks") / 2 - 1).cast("int")), lambda i: F.slice("marks", 2 * i + 1, 2))
-    partial = marks.where("size(marks) > 0").select("doc", "copy", "start", F.explode(pairs).alias("pair"))
-
-    hot = packed.where("hot").withColumn("s", F.md5("packed")).drop("packed")
-    single = hot.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    alone = hot.join(dealt_anew(single), "s")
-    if first_stays:
-        alone = alone.where(~place.eqNullSafe(F.col("first")))
-    alone = alone.select("doc", "copy", "start", F.array(F.lit(0), F.lit(1)).alias("pair"))
-
-    span = F.struct((F.col("start") + F.col("pair")[0]).alias("from"), (F.col("start") + F.col("pair")[1] + cut.width - 1).alias("to"))
-    spans = whole.unionByName(partial).unionByName(alone).select("doc", "copy", span.alias("span"))
-    return spans.groupBy("doc", "copy").agg(F.collect_list("span").alias("spans"))
+    texts = df.select(F.col(doc_id).alias("doc"), _copy(text), F.col(text).alias("text"))
+    place, string = F.struct("doc", "start", "copy"), ["m", "s", "z", "windows"]
+    asked, spans, used = texts, [], []
+    for gram in cut.grams:
+        found = written(cut_runs(asked, cut, gram, kind), "runs")
+        total = found.count()
+        met = written(found.groupBy("m").agg(F.count("*").alias("times")).where("times > 1"), "met")
+        again = written(join_known(found, met, ["m"], "times", total).drop("times"), "again")
+        forget(found)
+        forget(met)
+        groups = written(again.groupBy(string).agg(F.min(place).alias("first"), F.count("*").alias("times")), "groups")
+        whole = join_known(again, groups.where("times > 1"), string, "times", total)
+        if first_stays:
+            whole = whole.where(~place.eqNullSafe(F.col("first")))
+        whole = whole.select("doc", "copy", "start", F.array(F.lit(0), F.col("windows")).alias("pair"))
+
+        several = written(groups.groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "several")
+        hot = F.col("n") > HOT if gram < cut.width else F.lit(False)
+        meeting = join_known(groups, several, ["m"], "n", total).select("m", "first.doc", "first.copy", "first.start", "windows", hot.alias("hot"))
+        run = F.struct("m", "start", "windows")
+        by_doc = meeting.groupBy(F.col("doc").alias("doc_"), F.col("copy").alias("copy_")).agg(
+            F.collect_list(F.when(~F.col("hot"), run)).alias("runs"), F.collect_list(F.when(F.col("hot"), F.struct(F.col("start").alias("from"), (F.col("start") + F.col("windows")).alias("to")))).alias("wanted")
+        )
+        listed = written(by_doc, "listed")
+        own = F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("copy") == F.col("copy_"))
+        packed = written(pack(texts.join(listed.where("size(runs) > 0").drop("wanted"), own), cut, kind), "packed")
+        marks = in_buckets(packed.repartition(parts, "m").sortWithinPartitions("m"), kernel, kind)
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("marks") / 2 - 1).cast("int")), lambda i: F.slice("marks", 2 * i + 1, 2))
+        partial = marks.where("size(marks) > 0").select("doc", "copy", "start", F.explode(pairs).alias("pair"))
+        span = F.struct((F.col("start") + F.col("pair")[0]).alias("from"), (F.col("start") + F.col("pair")[1] + cut.width - 1).alias("to"))
+        spans.append(whole.unionByName(partial).select("doc", "copy", span.alias("span")))
+        used += [again, groups, several, listed, packed]
+        if several.where(F.col("n") > HOT).isEmpty():
+            break
+        # the least occurrences of the strings of hot buckets go by a longer gram
+        asked = texts.join(listed.where("size(wanted) > 0").drop("runs"), own).select("doc", "copy", "text", "wanted")
+    every = spans[0]
+    for s in spans[1:]:
+        every = every.unionByName(s)
+    out = written(every.groupBy("doc", "copy").agg(F.collect_list("span").alias("spans")), "spans")
+    for table in used:
+        forget(table)
+    return out
 
 
 def covered(bounds: np.ndarray, spans: pa.Array) -> np.ndarray:
     """Which units the documents' spans cover; bounds: the documents' offsets in units."""
     sizes = np.diff(bounds)
     shifted = bounds + np.arange(len(bounds))  # one more place a document, for spans that end with it
-    change = np.zeros(int(shifted[-1]) + 1, np.int64)
+    change = np.zeros(int(shifted[-1]) + 1, np.int32)
     times = np.asarray(pc.fill_null(pc.list_value_length(spans), 0)).astype(np.int64)
     if times.sum():
         inner = spans.flatten()
         doc = np.repeat(np.arange(len(sizes)), times)
         for name, by in (("from", 1), ("to", -1)):
-            np.add.at(change, shifted[doc] + np.minimum(np.asarray(inner.field(name)).astype(np.int64), sizes[doc]), by)
-    return (np.cumsum(change) > 0)[ragged(shifted[:-1], sizes)]
+            np.add.at(change, shifted[doc] + np.minimum(np.asarray(inner.field(name)).astype(np.int64), sizes[doc]), np.int32(by))
+    flags = np.cumsum(change, out=change) > 0
+    return flags[: int(sizes[0])] if len(sizes) == 1 else flags[ragged(shifted[:-1], sizes)]
 
 
 def with_spans(df: DataFrame, spans: DataFrame, text: str, doc_id: str) -> DataFrame:
