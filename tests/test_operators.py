@@ -297,6 +297,27 @@ def test_generator(spark):
     assert len(made) == 20 and all(ends[a][1] == ends[b][0] for r in made for a, b in zip(r.edge_seq, r.edge_seq[1:]))
 
 
+def test_zone_walks():
+    """Walks keep to arcs, reach their aim while it is in time, stop without arcs, and choose in proportion."""
+    arcs = np.zeros((5, 5), bool)
+    for a, b in ((0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (3, 4)):  # nothing leaves 4
+        arcs[a, b] = True
+    hops = np.full((5, 5), np.inf)
+    np.fill_diagonal(hops, 0)
+    for k in range(1, 6):
+        for a, b in zip(*np.nonzero(np.linalg.matrix_power(arcs.astype(int), k))):
+            hops[a, b] = min(hops[a, b], k)
+    n = 4000
+    u = np.random.default_rng(3).random((n, 8))
+    only = lambda z: np.eye(5)[z]
+    walks = zones.zone_walks(np.full(n, 3), only(0), only(3), arcs, np.where(arcs, 0.5, 0), hops, u)
+    assert set(map(tuple, walks.tolist())) == {(0, 1, 2, 3), (0, 2, 3, 0), (0, 2, 3, 4)}  # too late for 3 at the end, any arc will do
+    assert abs(np.mean(walks[:, 1] == 1) - 0.5) < 0.05
+    assert set(zones.zone_walks(np.arange(n) % 3, only(4), only(0), arcs, np.where(arcs, 1.0, 0), hops, u)[:, 1]) == {-1}
+    massless = zones.zone_walks(np.ones(n, int), np.zeros(5), only(0), arcs, np.zeros((5, 5)), hops, u)
+    assert np.allclose(np.bincount(massless[:, 0]) / n, 0.2, atol=0.03) and set(massless[massless[:, 0] == 3, 1]) == {0}
+
+
 def test_matching(spark):
     nodes, edges = city(spark)
     xy = {r.node_id: (r.x, r.y) for r in nodes.collect()}
