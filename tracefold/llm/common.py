@@ -199,4 +199,5 @@ def sampled(df: DataFrame, rows: int, doc_id: str = "doc_id", *columns: str) ->
     most, should ids repeat.
     """
     ids = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__sampled")).orderBy(F.xxhash64("__sampled"), "__sampled").limit(rows).distinct()
-    return df.select(doc_id, *columns).join(F.broadcast(ids), F.col(doc_id) == F.col("__sampled")).drop("__sampled").limit(2 * rows)
+    found = df.select(doc_id, *columns).join(F.broadcast(ids), F.col(doc_id) == F.col("__sampled")).drop("__sampled")
+    return found.orderBy(F.xxhash64(doc_id), F.xxhash64(*columns)).limit(2 * rows)

@@ -3,8 +3,13 @@
 A suffix automaton of each language's labelled text gives longest matches: a document is
 cut greedily into the longest phrases that occur in the labelled text. The language that
 needs the fewest phrases, normalised by its text's length, wins (Ziv and Merhav's
-cross-parsing estimate of relative entropy). Automata become one transition table, and
-all documents of a slice walk it together, one symbol a step.
+cross-parsing estimate of relative entropy). Symbols are the bytes of lower-cased letters
+and one gap between words, so no letter is left out of any alphabet.
+
+All documents of a slice walk an automaton together, one symbol a step. For that they are
+cut in pieces that start as if a phrase did; then each piece is walked again from where the
+piece before it really ends, until both walks start a phrase at the same symbol, from
+which on they agree. The phrases are those of the whole document, whatever its length.
 """
 
 from __future__ import annotations
@@ -22,20 +27,20 @@ from pyspark.sql.window import Window
 from .bpe import LETTER, classes
 from .common import chunks, flat, held_out, ragged
 
-#: Bounds of the labelled sample: rows of a language, characters of a row, symbols of a language, languages (those with most rows).
-SAMPLE_ROWS, SAMPLE_CHARS, TRAIN_SYMBOLS, MAX_LANGUAGES = 200, 4000, 24_000, 32
-#: Symbols: a gap between words, letters met rarely, then the sample's most frequent letters.
-GAP, RARE, ALPHABET = 0, 1, 96
-#: A document is parsed in pieces of so many symbols at once, each of which may add one phrase.
-PIECE = 256
+#: Bounds of the labelled sample of a language: rows, and symbols of those taken. Texts are taken whole, in the order of
+#: their ids' hashes, while they fit; the first one always is.
+SAMPLE_ROWS, SAMPLE_SYMBOLS = 200, 24_000
+GAP = 0x20
+#: Symbols of a piece, and pieces that walk together.
+PIECE, AT_ONCE = 256, 16384
 UNKNOWN = "und"
 
 
 @dataclass
 class Languages:
     names: list[str]
-    symbol: np.ndarray  # of every code point; uint8
-    table: np.ndarray  # [state, symbol] -> 4 * next state + phrases that end; the last column stays
+    column: np.ndarray  # column of every byte in the tables; bytes that no sample has share the last but one
+    table: np.ndarray  # [state, column] -> 2 * next state + whether the symbol starts a phrase; the last column stays
     starts: np.ndarray  # state of each automaton's root
     bits: np.ndarray  # log2 of the labelled text's length
 
@@ -74,125 +79,163 @@ def automaton(text: list[int], width: int) -> np.ndarray:
     return table
 
 
-def symbols(points: np.ndarray, heads: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, index of each in points): gaps between words are one symbol, none at a document's start."""
-    s = table[points]
-    keep = s != GAP
-    keep[1:] |= s[:-1] != GAP
-    keep[heads] = s[heads] != GAP
-    at = np.flatnonzero(keep)
-    return s[at], at
+_lower: np.ndarray | None = None
 
 
-def points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points, and the documents' offsets in them."""
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), heads[offsets]
+def _letters() -> np.ndarray:
+    """Lower-case form of every letter's code point, a gap for others."""
+    global _lower
+    if _lower is None:
+        is_letter = classes() == LETTER
+        lower = np.where(is_letter, np.arange(len(is_letter)), GAP).astype(np.uint32)
+        for c in np.flatnonzero(is_letter).tolist():
+            low = chr(c).lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
+        _lower = lower
+    return _lower
 
 
-def _letters() -> np.ndarray:
-    """Lower-case form of every letter's code point, 0 for others."""
-    is_letter = classes() == LETTER
-    lower = np.where(is_letter, np.arange(len(is_letter)), 0).astype(np.int64)
-    for c in np.flatnonzero(is_letter).tolist():
-        low = chr(c).lower()
-        if len(low) == 1:
-            lower[c] = ord(low)
-    return lower
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, documents' offsets in them): bytes of lower-cased letters; what stands between words is one gap, none at a document's start."""
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    points = _letters()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    gap = points == GAP
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]
+    firsts = heads[:-1][np.diff(heads) > 0]
+    keep[firsts] = ~gap[firsts]
+    points = points[keep]
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(width)])
+    return np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8), at[np.concatenate([[0], np.cumsum(keep)])[heads]]
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Languages:
-    """Automata of a bounded sample of labelled rows that aren't held out."""
-    rows = df.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(doc_id, F.col(lang).cast("string").alias("lang"), text)
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(doc_id), doc_id)
-    ids = rows.select(doc_id, "lang").join(F.broadcast(most), "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS).select(F.col(doc_id).alias("__id"), "r", F.col("lang").alias("__lang"))
-    taken = rows.join(F.broadcast(ids), (F.col(doc_id) == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "r", F.substring(text, 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE_ROWS * MAX_LANGUAGES).collect()
+    """Automata of a bounded sample of labelled rows that aren't held out, for every language."""
+    rows = df.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(doc_id, F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
+    rows = rows.select(F.col(doc_id).alias("id"), "lang", "t", F.xxhash64("t").alias("h"), F.octet_length("t").alias("size"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
+    listed = rows.select("id", "lang", "h", "size").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_ROWS)
+    taken, size = [], Counter()
+    for r in sorted(listed.select("lang", "r", "id", "h", "size").collect(), key=lambda r: (r["lang"], r["r"])):
+        if not size[r["lang"]] or size[r["lang"]] + r["size"] <= SAMPLE_SYMBOLS:
+            size[r["lang"]] += max(1, r["size"])
+            taken.append((r["id"], r["lang"], r["h"], r["r"]))
+    if not taken:
+        return train({})
+    asked = df.sparkSession.createDataFrame(taken, f"__id {df.schema[doc_id].dataType.simpleString()}, __lang string, __h long, r int")
+    found = rows.join(F.broadcast(asked), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")) & (F.col("h") == F.col("__h"))).select("lang", "r", "t").distinct()
     by: dict[str, list[str]] = {}
-    for r in sorted(taken, key=lambda r: (r["lang"], r["r"], r["t"])):
+    for r in sorted(found.collect()):
         by.setdefault(r["lang"], []).append(r["t"])
     return train(by)
 
 
 def train(by: dict[str, list[str]]) -> Languages:
     """Automata of labelled texts."""
-    lower = _letters()
-    as_points = {name: lower[np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)] for name, texts in sorted(by.items())}
-    seen: Counter[int] = Counter()
-    for p in as_points.values():
-        values, n = np.unique(p[p > 0], return_counts=True)
-        seen.update(dict(zip(values.tolist(), n.tolist())))
-    code = np.full(len(lower), RARE, np.uint8)
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]):
-        code[c] = i + 2
-    symbol = np.where(lower > 0, code[lower], GAP).astype(np.uint8)
-    width = int(symbol.max()) + 1
-    names, tables, starts, bits, base = [], [], [], [], 0
-    budget = min(TRAIN_SYMBOLS, TRAIN_SYMBOLS * 8 // max(1, len(by)))
-    for name in as_points:
-        points = np.frombuffer("\n".join(by[name]).encode("utf-32-le"), np.uint32)
-        s, _ = symbols(points, np.zeros(min(1, len(points)), np.int64), symbol)
-        s = s[:budget]
-        if not len(s):
-            continue
-        step = automaton(s.tolist(), width)
+    texts = {}
+    for name in sorted(by):
+        s, _ = symbols(*flat(pa.array(["\n".join(by[name])])))
+        if len(s):
+            texts[name] = s
+    seen = sorted({b for s in texts.values() for b in np.unique(s).tolist()})
+    column = np.full(256, len(seen), np.uint8)
+    column[seen] = np.arange(len(seen))
+    width = len(seen) + 1  # of known bytes and all others
+    tables, starts, base = [], [], 0
+    for s in texts.values():
+        step = automaton(column[s].tolist(), width)
         root = step[0]
+        begun = np.where(root >= 0, root, 0)  # an unknown symbol is a phrase of its own
         missing = step < 0
-        nxt = np.where(missing, np.where(root >= 0, root, 0)[None, :], step)
-        ends = missing * np.where(root >= 0, 1, 2)[None, :]
-        ends[0] = np.where(root >= 0, 0, 1)  # at the root no phrase is open
-        stay = 4 * (np.arange(len(step)) + base)
-        tables.append(np.concatenate([4 * (nxt + base) + ends, stay[:, None]], 1).astype(np.int32))
-        names.append(name)
+        fresh = missing.copy()
+        fresh[0] = True
+        stay = 2 * (np.arange(len(step)) + base)
+        tables.append(np.concatenate([2 * (np.where(missing, begun[None, :], step) + base) + fresh, stay[:, None]], 1).astype(np.int32))
         starts.append(base)
-        bits.append(np.log2(len(s) + 1))
         base += len(step)
     table = np.concatenate(tables) if tables else np.zeros((0, width + 1), np.int32)
-    return Languages(names, symbol, table, np.array(starts, np.int64), np.array(bits))
+    return Languages(list(texts), column, table, np.array(starts, np.int64), np.array([np.log2(len(s) + 1) for s in texts.values()]))
+
+
+def _walk(table: np.ndarray, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(states at the end, [step, piece] whether a phrase starts)."""
+    flat_table, width = table.ravel(), table.shape[1]
+    fresh = np.empty(grid.shape, bool)
+    for t in range(len(grid)):
+        hit = flat_table[state * width + grid[t]]
+        fresh[t] = hit & 1
+        state = (hit >> 1).astype(np.int64)
+    return state, fresh
+
+
+def parse(table: np.ndarray, grid: np.ndarray, start: int, entry: int, follows: np.ndarray) -> tuple[np.ndarray, int]:
+    """(phrases that start in each piece, state at the last one's end), of documents parsed as a whole.
+
+    grid: [step, piece] columns; start: the root; entry: the state in which the first piece
+    begins; follows: whether a piece goes on with the document of the piece before it. A
+    piece is first walked as if a phrase started with it. From its true entry it is walked
+    until both walks start a phrase at one symbol; a walk that never does changes the entry
+    of the next piece, which is then walked again.
+    """
+    flat_table, width = table.ravel(), table.shape[1]
+    entries = np.full(grid.shape[1], start, np.int64)
+    entries[0] = entry
+    ends, fresh = _walk(table, grid, entries)
+    again = np.flatnonzero(follows)
+    again = again[again > 0]
+    while len(again := again[entries[again] != ends[again - 1]]):
+        entries[again] = ends[again - 1]
+        on, state = again, entries[again]
+        changed = on[:0]
+        for t in range(len(grid)):
+            hit = flat_table[state * width + grid[t, on]]
+            starts, state = (hit & 1).astype(bool), (hit >> 1).astype(np.int64)
+            open_ = ~(starts & fresh[t, on])
+            fresh[t, on] = starts
+            on, state = on[open_], state[open_]
+            if not len(on):
+                break
+        else:
+            changed = on[state != ends[on]]
+            ends[on] = state
+        again = changed[changed + 1 < len(follows)] + 1
+        again = again[follows[again]]
+    return fresh.sum(0), int(ends[-1])
 
 
-def phrases(model: Languages, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrases by document and language, symbols by document)."""
-    n = len(bounds) - 1
-    firsts = bounds[:-1][np.diff(bounds) > 0]
-    s, at = symbols(points, firsts, model.symbol) if len(points) else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
-    own = np.searchsorted(at, bounds)
+    n = len(offsets) - 1
+    s, own = symbols(data, offsets)
     sizes = np.diff(own)
     pieces = -(-sizes // PIECE)
     doc = np.repeat(np.arange(n), pieces)
-    begin = own[doc] + PIECE * ragged(np.zeros(n, np.int64), pieces)
+    at = ragged(np.zeros(n, np.int64), pieces)
+    begin = own[doc] + PIECE * at
     length = np.minimum(PIECE, own[doc + 1] - begin)
-    width = model.table.shape[1]
-    flat_table = model.table.ravel()
     total = np.zeros((n, len(model.names)), np.int64)
-    order = np.argsort(-length, kind="stable")
-    for part in np.array_split(order, max(1, len(order) // 16384 + 1)):
-        if not len(part):
-            continue
-        grid = np.full((PIECE, len(part)), width - 1, np.uint8)
-        cells = ragged(begin[part], length[part])
-        grid[ragged(np.zeros(len(part), np.int64), length[part]), np.repeat(np.arange(len(part)), length[part])] = s[cells]
-        longest = int(length[part].max())
-        for j, start in enumerate(model.starts):
-            state = np.full(len(part), start, np.int64)
-            count = np.zeros(len(part), np.int64)
-            for t in range(longest):
-                hit = flat_table[state * width + grid[t]]
-                count += hit & 3
-                state = (hit >> 2).astype(np.int64)
-            count += state != start  # the phrase that the end cuts
-            total[:, j] += np.bincount(doc[part], count, n).astype(np.int64)
+    ends = model.starts.tolist()
+    for a in range(0, len(doc), AT_ONCE):
+        part = slice(a, a + AT_ONCE)
+        size, follows = length[part], at[part] > 0
+        grid = np.full((int(size.max()), len(size)), model.table.shape[1] - 1, np.uint8)
+        cells = ragged(np.zeros(len(size), np.int64), size)
+        where = np.repeat(np.arange(len(size)), size)
+        grid[cells, where] = model.column[s[begin[part][where] + cells]]
+        for j, start in enumerate(model.starts.tolist()):
+            fresh, ends[j] = parse(model.table, grid, start, ends[j] if follows[0] else start, follows)
+            total[:, j] += np.bincount(doc[part], fresh, n).astype(np.int64)
     return total, sizes
 
 
 def predict(model: Languages, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and score of each document of a slice."""
-    points, bounds = points_of(data, offsets)
-    letters = np.concatenate([[0], np.cumsum(model.symbol[points] != GAP)])
-    known = np.diff(letters[bounds]) > 0
     if not model.names:
-        return [UNKNOWN] * len(known), np.zeros(len(known))
-    total, sizes = phrases(model, points, bounds)
+        return [UNKNOWN] * (len(offsets) - 1), np.zeros(len(offsets) - 1)
+    total, sizes = phrases(model, data, offsets)
+    known = sizes > 0
     cost = total * model.bits[None, :] / np.maximum(1, sizes)[:, None]
     best = cost.argmin(1)
     low = cost[np.arange(len(best)), best]

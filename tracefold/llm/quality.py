@@ -36,7 +36,6 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 #: Words fall into so many hashed bins; a language's common words are its heaviest bins.
 BINS, COMMON = 4096, 64
-MAX_LANGUAGES = 64
 
 
 @dataclass
@@ -90,11 +89,9 @@ def histograms(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", **rules) -> Rules:
-    """References of the languages (the MAX_LANGUAGES of most text) from all rows; what comes to the driver is a fixed number of bins each."""
-    counted = histograms(df, text, lang)
-    largest = counted.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
+    """References of all languages from all rows; what comes to the driver is a fixed number of bins each. Without a language there are none."""
     table: dict[str, np.ndarray] = {}
-    for r in counted.join(F.broadcast(largest.select("lang")), "lang").collect():
+    for r in histograms(df, text, lang).toLocalIterator():
         table.setdefault(r["lang"], np.zeros(CLASSES + BINS))[r["bin"]] = r["n"]
     found = Rules(**rules)
     names = sorted(table)

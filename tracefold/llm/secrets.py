@@ -30,8 +30,10 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
 BEGIN, INSIDE, OUTSIDE = range(3)
-#: Rows of the sample that the field is fitted on, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 4000
+#: Rows of the sample that the field is fitted on, whole texts.
+SAMPLE_ROWS = 800
+#: Share of its own passages and of the other rows' passages that get a made-up secret or something that only looks like one.
+PUT = 0.4
 #: Characters stripped from the ends of a tagged span.
 EDGES = "\"'.,;:()[]{}<>"
 
@@ -46,8 +48,12 @@ _WORDLIKE[0x80:] = True
 _ASSIGNS = np.zeros(256, bool)
 _ASSIGNS[list(b"=:")] = True
 LENGTHS = np.array([4, 8, 16, 24, 40])
-#: length, digits, upper case, hexadecimal, a sign of assignment, only punctuation, a key word.
-SHAPES = 6 * 3 * 3 * 2 * 2 * 2 * 2
+#: length, digits, upper case, hexadecimal, changes of kind, a sign of assignment, only punctuation, a key word.
+SHAPES = 6 * 3 * 3 * 2 * 2 * 2 * 2 * 2
+#: Changes between small letters, capitals and digits within a token that words and numbers seldom have.
+CHANGES = 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
 FILES = 3 * 3
 
 
@@ -73,6 +79,10 @@ def token_shapes(data: np.ndarray, raw_lower: bytes, starts: np.ndarray, ends: n
     shape = shape * 3 + np.where(digits == 0, 0, np.where(2 * digits < size, 1, 2))
     shape = shape * 3 + np.where(upper == 0, 0, np.where((upper == letters) & (letters > 1), 2, 1))
     hexes = count(_HEX)
+    kind = _KIND[data]
+    change = np.zeros(len(data) + 1, np.int32)
+    change[2:] = np.cumsum((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
+    shape = shape * 2 + (change[ends] - change[np.minimum(starts + 1, ends)] >= CHANGES)
     shape = shape * 2 + (10 * hexes >= 8 * size)
     shape = shape * 2 + (count(_ASSIGNS) > 0)
     shape = shape * 2 + (plain == 0)
@@ -147,13 +157,22 @@ def synthetic(rng: np.random.Generator) -> list[str]:
         return "".join(rng.choice(list(letters), int(rng.integers(least, most))))
 
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    value = [draw("0123456789abcdef", 32, 65), draw(lower + upper + digit, 24, 48), "AKIA" + draw(upper + digit, 16, 17), draw(lower + upper + digit + "+/", 40, 60) + "="][int(rng.integers(4))]
+    value = [draw("0123456789abcdef", 32, 65), draw(lower + upper + digit, 24, 48), "AKIA" + draw(upper + digit, 16, 17), draw(lower + upper + digit + "+/", 40, 60) + "=", draw(upper + digit, 20, 40)][int(rng.integers(5))]
     key = ["password", "token", "secret", "api_key", "passwd"][int(rng.integers(5))]
     return [[key, "=", f'"{value}"'], [f"{key}:", value], [f"{key}={value}"], [value], ["Bearer", value][1:]][int(rng.integers(5))]
 
 
-def train(texts: list[str], seed: int = 7, rounds: int = 120, rate: float = 0.3, decay: float = 1e-4) -> Field:
-    """Fit on pieces of the texts, tagged by the base patterns, with made-up secrets put in."""
+def lookalike(rng: np.random.Generator, words: list[str]) -> list[str]:
+    """Something long that is no secret, made of the text's own words and of numbers: run-together words, addresses, paths, numbers, identifiers."""
+    some = [words[int(rng.integers(len(words)))] for _ in range(int(rng.integers(2, 6)))]
+    number = "".join(rng.choice(list("0123456789"), int(rng.integers(2, 20))))
+    joined = "".join(some)
+    forms = [joined, joined.capitalize(), joined.upper(), "".join(w.capitalize() for w in some), "_".join(some), "-".join(some), ".".join(some), "/".join(["https:/", *some]), f"{some[0]}.{number[:2]}@{some[1]}.example.com", number, f"{some[0]}{number[:4]}", f"{joined}###", joined + "&&&"]
+    return [forms[int(rng.integers(len(forms)))]]
+
+
+def train(texts: list[str], seed: int = 7, rounds: int = 80, rate: float = 0.4, decay: float = 1e-4) -> Field:
+    """Fit on pieces of the texts, tagged by the base patterns, with made-up secrets and things that only look like them put in."""
     rng = np.random.default_rng(seed)
     length, pieces, golds = 24, [], []
     for text in sorted(texts):
@@ -164,14 +183,22 @@ def train(texts: list[str], seed: int = 7, rounds: int = 120, rate: float = 0.3,
         for _, a, b in base_spans(joined):
             i, j = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "left")
             tags[i:j] = [BEGIN] + [INSIDE] * (j - i - 1)
-        for _ in range(2):
+        shown = []
+        for _ in range(4):
             at = int(rng.integers(len(words) + 1))
-            if rng.random() < 0.4 and (at == 0 or at == len(words) or tags[at] == OUTSIDE):
+            if rng.random() >= PUT or (0 < at < len(words) and tags[at] != OUTSIDE):
+                continue
+            if words and rng.random() < 0.5:
+                put, tag = lookalike(rng, words), [OUTSIDE]
+            else:
                 put = synthetic(rng)
-                words[at:at] = put
-                tags[at:at] = [BEGIN] + [INSIDE] * (len(put) - 1)
+                tag = [BEGIN] + [INSIDE] * (len(put) - 1)
+            words[at:at] = put
+            tags[at:at] = tag
+            shown = [x + len(put) * (x >= at) for x in shown] + [at]
         marked = [max(0, i - length // 2) for i, t in enumerate(tags) if t == BEGIN]
-        for a in sorted({*marked[:4], int(rng.integers(max(1, len(words) - length)))}):
+        near = [max(0, at - length // 2) for at in shown]
+        for a in sorted({*marked[:4], *near, int(rng.integers(max(1, len(words) - length)))}):
             if words[a : a + length]:
                 pieces.append(words[a : a + length])
                 golds.append(tags[a : a + length])
@@ -233,8 +260,8 @@ def train(texts: list[str], seed: int = 7, rounds: int = 120, rate: float = 0.3,
 
 
 def fit(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Field:
-    """A field fitted on SAMPLE_ROWS rows, SAMPLE_CHARS characters of each."""
-    rows = sampled(df.select(doc_id, F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("__text")), SAMPLE_ROWS, doc_id, "__text").collect()
+    """A field fitted on SAMPLE_ROWS rows, those whose ids hash lowest. Null texts count as empty; without rows every token is outside."""
+    rows = sampled(df.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("__text")), SAMPLE_ROWS, doc_id, "__text").collect()
     return train([r["__text"] for r in rows])
 
 

@@ -28,10 +28,10 @@ STEMS = (3, 4, 5, 6, 7, 8)
 TABLES = 2 + len(STEMS)
 WIDTHS, FILTERS = (1, 2, 3), 6
 THRESHOLD = 0.3
-#: Bound of the labelled sample, in rows and in characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 4000
-#: Bins of the words that tell languages apart, languages at most, and toxic rows that a language needs for a calibration of its own.
-LANGUAGE_BINS, MAX_LANGUAGES, LEAST_TOXIC = 4096, 32, 10
+#: Bound of the labelled sample, in rows; their texts are taken whole.
+SAMPLE_ROWS = 4000
+#: Bins of the words that tell languages apart, and toxic rows that a language needs for a calibration of its own.
+LANGUAGE_BINS, LEAST_TOXIC = 4096, 10
 EPOCHS, BATCH, RATE, TABLE_RATE, SEED = 4, 64, 0.02, 0.004, 11
 #: Rows from which a word's log-odds count in full (a twelfth of the toxic rows, if fewer, 3 at least); one row in CALIBRATION is kept from the fit, to calibrate on.
 SEEN, CALIBRATION = 15, 4
@@ -153,7 +153,7 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None]) -> Classi
     if not len(y) or y.min() == y.max():
         model.bias = 4.0 if len(y) and y[0] else -4.0
         return model
-    names = sorted({x for x in langs if x is not None}, key=lambda x: (-langs.count(x), x))[:MAX_LANGUAGES]
+    names = sorted({x for x in langs if x is not None}, key=lambda x: (-langs.count(x), x))
     bins, at, bounds = _encoded(texts)
     if names:
         doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds))
@@ -254,11 +254,16 @@ def _descend(model: Classifier, at: np.ndarray, bounds: np.ndarray, y: np.ndarra
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Classifier:
-    """A classifier fitted on SAMPLE_ROWS labelled rows that aren't held out."""
+    """A classifier fitted on SAMPLE_ROWS labelled rows that aren't held out, those whose ids hash lowest.
+
+    Null texts count as empty, of repeated labels the highest counts; without labels, or
+    with labels all alike, the classifier gives every text one score.
+    """
     known = labels.where(~held_out(doc_id) & F.col("toxic").isNotNull()).groupBy(F.col(doc_id).alias("__labelled")).agg(F.max("toxic").alias("__toxic"))
     chosen = known.orderBy(F.xxhash64("__labelled"), "__labelled").limit(SAMPLE_ROWS)
-    rows = df.select(doc_id, F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("__text"), F.col(lang).cast("string").alias("__lang"))
-    rows = rows.join(F.broadcast(chosen), F.col(doc_id) == F.col("__labelled")).select("__labelled", "__text", "__lang", "__toxic").limit(2 * SAMPLE_ROWS).collect()
+    rows = df.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("__text"), F.col(lang).cast("string").alias("__lang"))
+    rows = rows.join(F.broadcast(chosen), F.col(doc_id) == F.col("__labelled")).select("__labelled", "__text", "__lang", "__toxic")
+    rows = rows.orderBy(F.xxhash64("__labelled"), "__labelled", F.xxhash64("__text", "__lang")).limit(2 * SAMPLE_ROWS).collect()
     rows.sort(key=lambda r: (str(r[0]), r[1], r[2] or ""))
     return train([r["__text"] for r in rows], [int(r["__toxic"] > 0) for r in rows], [r["__lang"] for r in rows])
 
