@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, spans string, copy long, page long, run int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, spans string, copy long, page long, run int, size string, span string, node string, gram string, doc string, m string, s string, first string, key string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def make(spark):
     """Documents from (doc_id, text, lang, source); the further columns have names that operators use inside."""
 
     def build(rows):
-        full = [(i, t, lang, src, None if t is None else len(t), "x", None, 5, 6, 7) for i, t, lang, src in rows]
+        full = [(i, t, lang, src, None if t is None else len(t), "x", None, 5, 6, 7, *"abcdefghi") for i, t, lang, src in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(3)
 
     return build

@@ -35,6 +35,24 @@ def test_exact(make, corpus, digest):
     assert exact_dedup.exact_duplicates(make([]), digest=digest).count() == 0
 
 
+def test_hits_beyond_the_filter(make, corpus, monkeypatch):
+    """With too few bits for the hits, texts are picked by a join: equal results."""
+    plain = sorted(map(str, exact_dedup.exact_duplicates(make(corpus)).collect()))
+    monkeypatch.setattr(exact_dedup, "BITS_PER_HIT", 1 << 20)
+    assert sorted(map(str, exact_dedup.exact_duplicates(make(corpus)).collect())) == plain
+
+
+def test_index_by_batches(make, corpus):
+    """Batches one after the other give the index of all rows."""
+    index = None
+    for batch in (corpus[:9], [], corpus[9:50], corpus[50:]):
+        index = exact_dedup.extend(index, make(batch))
+    groups = defaultdict(list)
+    for i, t, *_ in corpus:
+        groups[hashlib.sha256(lower(t).encode()).hexdigest()].append(i)
+    assert sorted(map(tuple, index.select("digest", "keep_id", "n").collect())) == sorted((d, max(ids), len(ids)) for d, ids in groups.items())
+
+
 def test_null_ids(make):
     got = exact_dedup.exact_duplicates(make([(None, "a", None, None), (None, "A", None, None), (3, "b", None, None)])).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == [("3", "3", 1, True), ("None", "None", 2, True), ("None", "None", 2, True)]
@@ -112,6 +130,13 @@ def test_long_documents_in_slices(monkeypatch, words):
     assert found()[0] == whole == want
 
 
+def test_similarity_of_words_that_a_polynomial_hash_takes_for_equal(make):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(k, " ".join([w, f"v{k}", w, w, f"u{k}", w, w, w, w, w, w]), None, None) for k, w in enumerate((one, other))]
+    assert simhash.similar_documents(make(rows)).count() == 0
+
+
 def thue_morse(n):
     return "".join("ab"[k.bit_count() % 2] for k in range(n))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,33 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(table)
+    return table
+
+
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those passed to the function that this gives."""
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for table in _open.pop():
+            if not any(table is k for k in kept):
+                forget(table)
+            elif _open:
+                _open[-1].append(table)
 
 
 def dealt_anew(df: DataFrame) -> DataFrame:
@@ -139,7 +167,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the byte spans, mixed; equal spans have equal hashes."""
+    """64-bit polynomial hashes of the byte spans, mixed; equal spans have equal hashes.
+
+    Different spans may well have equal ones too (such a hash modulo 2**64 takes some long
+    words for equal whatever its base), so these choose buckets and bins, not equals.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     p, q = powers(len(data))
@@ -148,6 +180,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((total[ends] - total[starts]) * q[starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit XXH3 of the words, each distinct one of a slice hashed once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    cuts = (np.append(starts, ends[-1]) - starts[0]).astype(np.int32)  # white space goes with the word before it
+    column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[starts[0] : ends[-1]]))])
+    coded = column.dictionary_encode()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(x.rstrip()) for x in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return known[coded.indices.to_numpy()]
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive values, in order."""
     if len(h) < n:

@@ -98,17 +98,18 @@ def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, spans), one row per input row.
+    """(doc_id, copy, source, size, source_size, target, taken, spans), one row per input row.
 
     size: words of the text (null: 0). Sources in code point order, null last, weigh 5,
     2, 1, repeating. spans: the runs of words that the mix takes, one a lap; taken is
     their sum, at most twice the size. Equal seeds and rows give equal results at any
     partitioning; repeated rows (equal id) lie next to one another in the seeded order and
     may exchange their spans. A source of no words takes none. An empty table gives an
-    empty table. More than MAX_SOURCES sources is an error.
+    empty table. More than MAX_SOURCES sources is an error. copy: a hash of the text, which
+    tells rows of one id apart.
     """
     spark = df.sparkSession
-    sized = written(df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    sized = written(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("copy"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -124,7 +125,7 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str
     placed = placed.withColumn("shard", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards")).cast("int"))
     shards = placed.groupBy("party", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
     quotas = shards.groupBy("party").applyInPandas(_quotas, "party int, shard int, shard_size long, quota long")  # MAX_SHARDS rows a group at most
-    order = Window.partitionBy("party", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("party", "shard").orderBy("key", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quotas, ["party", "shard"])
     turn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("offset"), F.col("party").cast("string"), F.col("shard").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     laid = laid.withColumn("begin", BLOCK * (turn % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / BLOCK)))).withColumn("end", F.col("begin") + BLOCK * F.col("quota"))
@@ -135,4 +136,4 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     laid = laid.withColumn("spans", F.filter(F.array(*[lap(k) for k in range(4)]), lambda s: s["from"] < s["to"]))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "spans")
+    return laid.select("doc_id", "copy", "source", "size", "source_size", "target", taken.alias("taken"), "spans")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, flat, gram_hashes, map_text, span_hashes, words_of, written
+from .common import dealt_anew, flat, gram_hashes, map_text, temporary, word_hashes, words_of, written
 from .components import components
 
 SEED = 42
@@ -97,9 +97,10 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, text: st
     smallest unless its component has no other; an empty table gives an empty table.
     """
     docs = written(fingerprints(df, shingle, text, doc_id), "fingerprints")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
-    labelled = written(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    with temporary() as keep:
+        nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        roots = components(links(nodes.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
+        labelled = keep(written(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(dealt_anew(smallest), "root").select("fp", "component_id")
     return docs.join(dealt_anew(of_fp), "fp").select("doc_id", "fp", "component_id")
@@ -121,7 +122,7 @@ def shingle_sets(df: DataFrame, shingle: int, text: str = "text", node: str = "n
         low = _FOLD[data]
         starts, ends, _ = words_of(low, offsets)
         bounds = np.searchsorted(starts, offsets).tolist()
-        h = span_hashes(low, starts, ends)
+        h = word_hashes(low, starts, ends)
         sets = [np.unique(gram_hashes(h[a:b], min(shingle, b - a))) if b > a else h[:0] for a, b in zip(bounds, bounds[1:])]
         ends_ = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column(node), pa.ListArray.from_arrays(pa.array(ends_), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "grams"])
@@ -184,14 +185,15 @@ def open_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
 
 def similar_pairs(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
     """The pairs (u, v) whose shingles have the Jaccard similarity. keyed: (node, text)."""
-    pairs = written(pairs, "pairs")
-    # written, so that the planner knows its size before it decides whether the texts must travel
-    asked = written(pairs.select(F.col("u").alias("__node")).union(pairs.select(F.col("v").alias("__node"))).distinct(), "asked")
-    sets = written(shingle_sets(keyed.join(asked, F.col("node") == F.col("__node"), "left_semi"), shingle, text).dropDuplicates(["node"]), "sets")
-    a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in ("u", "v"))
-    shared = F.size(F.array_intersect("gu", "gv"))
-    close = pairs.join(a, "u").join(b, "v").where(shared >= similarity * (F.size("gu") + F.size("gv") - shared)).select("u", "v")
-    return written(close, "links")
+    with temporary() as keep:
+        pairs = written(pairs, "pairs")
+        # written, so that the planner knows its size before it decides whether the texts must travel
+        asked = written(pairs.select(F.col("u").alias("__node")).union(pairs.select(F.col("v").alias("__node"))).distinct(), "asked")
+        sets = written(shingle_sets(keyed.join(asked, F.col("node") == F.col("__node"), "left_semi"), shingle, text).dropDuplicates(["node"]), "sets")
+        a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in ("u", "v"))
+        shared = F.size(F.array_intersect("gu", "gv"))
+        close = pairs.join(a, "u").join(b, "v").where(shared >= similarity * (F.size("gu") + F.size("gv") - shared)).select("u", "v")
+        return keep(written(close, "links"))
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -208,12 +210,13 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     are one node; rows without word are not linked. Texts may be of any length.
     """
     keyed = df.select(row_node(doc_id, text).alias("node"), text)
-    met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
-    close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
-    others = similar_pairs(keyed, open_pairs(met, components(close), similarity), shingle, similarity, text)
-    roots = components(close.union(others))
-    ids = df.select(F.col(doc_id).alias("doc_id"), row_node(doc_id, text).alias("node")).join(roots, "node").distinct()
-    ids = written(ids.select("doc_id", "node", "root"), "rows")
+    with temporary() as keep:
+        met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
+        close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
+        others = similar_pairs(keyed, open_pairs(met, components(close), similarity), shingle, similarity, text)
+        roots = components(close.union(others))
+        ids = df.select(F.col(doc_id).alias("doc_id"), row_node(doc_id, text).alias("node")).join(roots, "node").distinct()
+        ids = keep(written(ids.select("doc_id", "node", "root"), "rows"))
     least = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node")).alias("least"))
     found = ids.join(dealt_anew(least), "root")
     return found.select("doc_id", "node", F.col("least.doc_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("kept"))

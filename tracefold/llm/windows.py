@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, dealt_anew, flat, forget, ragged, runs, span_hashes, words_of, written
+from .common import CHUNK_BYTES, chunks, dealt_anew, flat, forget, ragged, runs, span_hashes, temporary, words_of, written
 
 #: Different strings of a minimiser beyond which its windows are cut by a longer gram.
 HOT = 2000
@@ -239,11 +239,16 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
     first_stays: the least occurrence (document, start) of a window is not covered by it;
     otherwise every occurrence of a window met twice is.
     """
+    with temporary() as keep:
+        return keep(_removed_spans(df, cut, kernel, first_stays, text, doc_id))
+
+
+def _removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool, text: str, doc_id: str) -> DataFrame:
     spark, kind = df.sparkSession, df.schema[doc_id].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(doc_id).alias("doc"), _copy(text), F.col(text).alias("text"))
     place, string = F.struct("doc", "start", "copy"), ["m", "s", "z", "windows"]
-    asked, spans, used = texts, [], []
+    asked, spans = texts, []
     for gram in cut.grams:
         found = written(cut_runs(asked, cut, gram, kind), "runs")
         total = found.count()
@@ -272,7 +277,6 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
         partial = marks.where("size(marks) > 0").select("doc", "copy", "start", F.explode(pairs).alias("pair"))
         span = F.struct((F.col("start") + F.col("pair")[0]).alias("from"), (F.col("start") + F.col("pair")[1] + cut.width - 1).alias("to"))
         spans.append(whole.unionByName(partial).select("doc", "copy", span.alias("span")))
-        used += [again, groups, several, listed, packed]
         if several.where(F.col("n") > HOT).isEmpty():
             break
         # the least occurrences of the strings of hot buckets go by a longer gram
@@ -280,10 +284,7 @@ def removed_spans(df: DataFrame, cut: Cut, kernel: Callable, first_stays: bool,
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
-    out = written(every.groupBy("doc", "copy").agg(F.collect_list("span").alias("spans")), "spans")
-    for table in used:
-        forget(table)
-    return out
+    return written(every.groupBy("doc", "copy").agg(F.collect_list("span").alias("spans")), "spans")
 
 
 def covered(bounds: np.ndarray, spans: pa.Array) -> np.ndarray:
