@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bytes of text that one numpy pass holds; a longer document makes a pass of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -28,18 +29,6 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local session may leave it unset and gets one of its own."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("tracefold.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tracefold-')}"
-        spark.conf.set("tracefold.shared.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and lost executors lose nothing of it."""
     spark = df.sparkSession
