@@ -96,6 +96,13 @@ def test_graphml(spark, tmp_path):
     n, e = trajectories.read_network(spark, str(tmp_path))
     assert sorted((r.node_id, r.x, r.y, r.lon) for r in n.collect()) == [(7, 2.0, 7.5, 116.3), (8, 2.0, 8.5, 116.3)]
     assert [(r.edge_id, r.u, r.v, r.key, r.length_m, r.oneway) for r in e.orderBy("edge_id").collect()] == [(0, 8, 7, 0, 12.5, True), (1, 7, 8, 1, 13.0, False)]
+    meta = trajectories.build_network(spark, str(tmp_path / "graph.graphml"), str(tmp_path / "maps/here"), "here")
+    built = trajectories.read_network(spark, str(tmp_path / "maps/here"))
+    assert (meta["n_nodes"], meta["n_edges"]) == (2, 2) == tuple(t.count() for t in built) and (tmp_path / "maps/here/graph.graphml").exists()
+    assert meta["network_hash"] == trajectories.network_hash(n.repartition(3), e.select(*reversed(e.columns))) == json.loads((tmp_path / "maps/here/meta.json").read_text())["network_hash"]
+    assert meta["network_hash"] != trajectories.network_hash(n, e.where("u = 8"))
+    outside = trajectories.build_network(spark, str(tmp_path / "graph.graphml"), str(tmp_path / "maps/there"), "there", (0.0, 0.0, 1.0, 1.0))
+    assert (outside["n_nodes"], outside["n_edges"]) == (0, 0)
 
 
 def test_experiment(spark, world):
@@ -107,6 +114,8 @@ def test_experiment(spark, world):
     assert rows["utility:protected:none", "cell_js_divergence"].value == 0
     assert 0 <= rows["membership_inference:synthetic:markov", "auc"].value <= 1
     assert "reconstruction:protected:geo_indistinguishability:epsilon=10.0" in {k for k, _ in rows}
+    assert all(r.peak_memory_mb > 0 for r in rows.values())
+    assert same.n_rematch_dropped == 0 and raw.n_rematch_dropped is None
     files = glob.glob(f"{world}/out/x/results.csv/*.csv")
     again = results.read_results(spark, files)
     assert again.count() == len(rows) and set(again.columns) >= set(results.NAMES)
@@ -141,6 +150,7 @@ def test_hashes(world):
     raw2["experiment"] |= {"seed": 2, "split_seed": 1}
     b = config.parse(raw2)
     assert config.pipeline_hash(a) == config.pipeline_hash(b) and config.release_hash(a, a.mechanisms[1]) != config.release_hash(b, b.mechanisms[1])
+    assert config.pipeline_hash(a, "one map") != config.pipeline_hash(a, "another")
     assert [m.ref for m in a.mechanisms] == ["none", "geo_indistinguishability:epsilon=10.0"]
 
 

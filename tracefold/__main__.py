@@ -1,4 +1,4 @@
-"""python -m tracefold run CONFIG [--seed N] | repeat CONFIG --seeds A B ... | report RESULTS OUT"""
+"""python -m tracefold run CONFIG [--seed N] | repeat CONFIG --seeds A B ... | report RESULTS OUT | map GRAPHML FOLDER --region R [--box W S E N]"""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from .plans import config, experiment, report
 from .session import get_spark
+from .sources import trajectories
 
 
 def main() -> None:
@@ -21,7 +22,19 @@ def main() -> None:
     page = sub.add_parser("report")
     page.add_argument("results")
     page.add_argument("out")
+    made = sub.add_parser("map")
+    made.add_argument("graphml")
+    made.add_argument("folder")
+    made.add_argument("--region", nargs="+", required=True)
+    made.add_argument("--box", type=float, nargs="+", help="four numbers a region")
     args = parser.parse_args()
+    if args.what == "map":
+        boxes = args.box or []
+        if boxes and len(boxes) != 4 * len(args.region):
+            parser.error("a box has four numbers for each region")
+        for k, region in enumerate(args.region):
+            print(trajectories.build_network(get_spark(), args.graphml, f"{args.folder}/{region}", region, tuple(boxes[4 * k : 4 * k + 4]) or None))
+        return
     if args.what == "report":
         print(report.generate(get_spark(), args.results, args.out))
         return

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from pyspark.sql.window import Window
 from ..functions import geo, order, rng
 from ..operators import attacks, cleaning, matching, metrics, protect, reporting, sequences, splits, stays, zones
 from ..sources import adapters
+from ..session import shared_dir
 from ..sources.adapters import as_arrays, points, scores, table
-from . import catalogue_sql
+from ..sources.results import read_results, write_results
+from . import catalogue_sql, evidence
 
 GRID = geo.Grid(*adapters.BOX, 4, 4)
 RADIUS_M, DWELL_S, TZ = 12_000.0, 3_600.0, 8
@@ -21,8 +25,8 @@ EPSILON, UNIT_M = 1.0, 500.0
 SPEED_KMH, RESAMPLE_S, MIN_POINTS, MIN_LENGTH_M = 60.0, 43_200.0, 8, 100_000.0
 FRACTIONS = {"train": 0.5, "test": 0.2, "shadow": 0.2, "attack": 0.1}
 KNOWN = 5
-SHADOWS, SUBSAMPLE = 8, 0.5
-ROUNDS = 100
+SHADOWS, SUBSAMPLE = 16, 0.5
+ROUNDS = 1000
 L_MAX = 24
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,7 +233,7 @@ def _ranking(spark, sf_dir) -> DataFrame:
 
 @query
 def dtw_ranking(spark, sf_dir):
-    return _ranking(spark, sf_dir).where("rank <= 10").select("probe_id", "true_user", "user", r6("distance", 3).alias("distance"), "rank")
+    return _ranking(spark, sf_dir).select("probe_id", "true_user", "user", r6("distance", 3).alias("distance"), "rank")
 
 
 def _hits(spark, sf_dir, k: int) -> DataFrame:
@@ -378,14 +382,14 @@ def bootstrap_ci(spark, sf_dir):
 @query
 def paired_bootstrap(spark, sf_dir):
     pairs = order.numbered(_lengths(spark, sf_dir), "traj_id").select("i", "a", "b").cache()
-    return metrics.paired_length_bootstrap(pairs, 20).select(*[r6(c, 3).alias(c) for c in ("value", "ci_low", "ci_high")])
+    return metrics.paired_length_bootstrap(pairs, ROUNDS).select(*[r6(c, 3).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
 @query
 def two_sample_bootstrap(spark, sf_dir):
     s = scores(spark, sf_dir)
     sides = [metrics.indexed(s.where(f"label = {k}"), "id", F.col("score")) for k in (0, 1)]
-    return metrics.two_sample_w1_bootstrap(*sides, 20).select(*[r6(c, 3).alias(c) for c in ("value", "ci_low", "ci_high")])
+    return metrics.two_sample_w1_bootstrap(*sides, ROUNDS).select(*[r6(c, 3).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
 # -- network, zones -------------------------------------------------------------------------
@@ -412,6 +416,10 @@ def parallel_edge_collapse(spark, sf_dir):
     return zones.shortest_edges(network(spark, sf_dir)[1])
 
 
+def _router(spark, sf_dir) -> zones.Router:
+    return zones.Router([(r["edge_id"], r["u"], r["v"], r["length_m"], 0) for r in network(spark, sf_dir)[1].collect()])
+
+
 def _zoned(spark, sf_dir) -> DataFrame:
     return zones.edge_zones(*network(spark, sf_dir), 4, 4).cache()
 
@@ -600,9 +608,77 @@ def arm_merge(spark, sf_dir):
 @query
 def threshold_survival(spark, sf_dir):
     s = scores(spark, sf_dir).select((F.col("score") % 1000 / 1000).alias("match_score"))
-    grid = spark.range(11).select((F.col("id") / 10).alias("threshold"))
-    hist = s.groupBy(F.floor(F.col("match_score") * 10).alias("bin")).agg(F.count("*").alias("n"))
-    return grid.join(F.broadcast(hist), F.col("bin") / 10 >= F.col("threshold"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("survivors"))
+    left = [matching.survivors(s, k / 10).agg(F.lit(k / 10).alias("threshold"), F.count("*").alias("survivors")) for k in range(11)]
+    return reduce(DataFrame.unionByName, left)
+
+
+@query
+def segment_view(spark, sf_dir):
+    e = sequences.as_segments(_routes(spark, sf_dir).withColumn("user_id", F.col("traj_id").cast("long")))
+    return e.select("traj_id", "user_id", F.posexplode("edge_seq").alias("pos", "edge_id"))
+
+
+@query
+def strong_component(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in sorted(_router(spark, sf_dir).strong_component())], "node_id bigint")
+
+
+@query
+def shortest_paths(spark, sf_dir):
+    far, _ = _router(spark, sf_dir).distances(0)
+    return spark.createDataFrame([(int(n), round(d, 3)) for n, d in far.items()], "node_id bigint, metres double")
+
+
+@query
+def network_visits(spark, sf_dir):
+    visits, _ = evidence.features(_routes(spark, sf_dir), *network(spark, sf_dir), 4, 4)
+    return visits
+
+
+@query
+def route_lengths(spark, sf_dir):
+    _, lengths = evidence.features(_routes(spark, sf_dir), *network(spark, sf_dir), 4, 4)
+    return lengths.select("traj_id", r6("length_m", 3).alias("length_m"))
+
+
+@query
+def unpaired_cell_jsd(spark, sf_dir):
+    """Visits of the routes of even and of odd users, unpaired samples."""
+    sides = [evidence.features(_routes(spark, sf_dir).where(F.col("traj_id").cast("long") % 2 == k), *network(spark, sf_dir), 4, 4)[0].withColumnRenamed("n", f"n{k}") for k in (0, 1)]
+    return metrics.js_divergence(sides[0].join(sides[1], "cell", "full").fillna(0), "cell", "n0", "n1").select(r6("jsd").alias("jsd"))
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    """Result rows of different scopes, arms and parameters, made of line items."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.col("l_linenumber") % 3
+    scope = F.when(kind == 0, "raw").when(kind == 1, "protected").otherwise("synthetic")
+    arm = F.when(kind == 0, "").when(F.col("l_returnflag") == "N", "none").otherwise(F.concat(F.lit("arm_"), "l_returnflag"))
+    some = li.select(scope.alias("scope"), arm.alias("arm_id"), F.when(F.col("l_quantity") > 25, F.col("l_tax")).alias("epsilon"), F.when(F.col("l_quantity") > 10, F.col("l_discount")).alias("unit_m")).distinct()
+    return some.withColumn("target_ref", F.concat_ws(":", "scope", "arm_id"))
+
+
+@query
+def display_order(spark, sf_dir):
+    place = F.row_number().over(Window.orderBy(*reporting.display_order()))  # result rows: a dimension
+    return _shown(spark, sf_dir).select("scope", "arm_id", "epsilon", "unit_m", "target_ref", place.alias("place"))
+
+
+@query
+def params_order(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("epsilon="), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax").cast("string")).otherwise("x"), F.lit(",unit_m="), F.col("l_linenumber").cast("string")).alias("params")).distinct()
+    key = reporting.params_key(F.col("params"))
+    return li.select("params", key[0]["name"].alias("name"), F.when(key[0]["number"] != float("inf"), key[0]["number"]).alias("first"), key[1]["number"].alias("second"))
+
+
+@query
+def results_csv(spark, sf_dir):
+    """Result rows written as CSV and read again, undefined values among them."""
+    path = f"{shared_dir(spark)}/tracefold/results-{uuid.uuid4().hex}"
+    r = results(spark, sf_dir).drop("n_nonmembers").withColumn("value", F.when(F.col("known_points") == 1992, float("nan")).otherwise(r6("value", 4)))
+    write_results(r, path, {"exp_id": "e", "config_hash": "h", "git_commit": "", "seed": 1, "split_seed": 2, "max_users": None, "created_at": "now"})
+    back = read_results(spark, [path])
+    return back.select("metric_id", "seed", "split_seed", "family", "known_points", F.nanvl("value", F.lit(None).cast("double")).alias("value"), F.isnan("value").alias("undefined"))
 
 
 @query

@@ -203,7 +203,7 @@ SELECT user_id, round(hd, 3) AS home_error_m, CASE WHEN home_lat IS NOT NULL THE
     "grr_estimate": f"WITH {SEGMENTS}, {GRR} SELECT CAST(i AS INT) AS category, round(greatest((c - n * {1 / (math.e + 4)!r}) / {math.e / (math.e + 4) - 1 / (math.e + 4)!r}, 0), 6) AS estimate FROM (SELECT i, count(report) AS c FROM range(0, 5) AS r(i) LEFT JOIN reports ON report = i GROUP BY i), (SELECT count(*) AS n FROM customer)",
     "oue_report": f"WITH {SEGMENTS}, {OUE} SELECT * FROM bits",
     "oue_estimate": f"WITH {SEGMENTS}, {OUE} SELECT category, round(greatest((sum(bit) - count(*) * {1 / (math.e + 1)!r}) / {0.5 - 1 / (math.e + 1)!r}, 0), 6) AS estimate FROM bits GROUP BY category",
-    "dtw_ranking": f"WITH {PTS}, {dtw()} SELECT probe_id, true_user, user, round(distance, 3) AS distance, rank FROM ranking WHERE rank <= 10",
+    "dtw_ranking": f"WITH {PTS}, {dtw()} SELECT probe_id, true_user, user, round(distance, 3) AS distance, rank FROM ranking",
     "topk_accuracy": f"WITH {PTS}, {dtw()} SELECT round(avg(hit), 6) AS top5_acc, count(*) AS n_probes FROM (SELECT probe_id, max(CASE WHEN rank <= 5 AND user = true_user THEN 1e0 ELSE 0e0 END) AS hit FROM ranking GROUP BY probe_id)",
     "linkage_rate": f"WITH {PTS}, {dtw()} SELECT round(avg(hit), 6) AS linkage_rate FROM (SELECT probe_id, max(CASE WHEN rank = 1 AND user = true_user THEN 1e0 ELSE 0e0 END) AS hit FROM ranking GROUP BY probe_id)",
     "hausdorff_pairs": f"""WITH {PTS}, {REL}, d AS (SELECT a.traj_id, a.pos AS i, b.pos AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM {utm('pts')} a JOIN {utm('rel')} b USING (traj_id))
@@ -223,15 +223,15 @@ SELECT round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + C
     "length_w1_paired": f"WITH {PTS}, {REL}, {LENGTHS} SELECT round(avg(abs(a - b)), 3) AS w1_m FROM (SELECT a, row_number() OVER (ORDER BY a) AS r FROM lengths) JOIN (SELECT b, row_number() OVER (ORDER BY b) AS r FROM lengths) USING (r)",
     "length_w1_unpaired": f"WITH vals AS (SELECT o_totalprice AS x, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS side FROM orders WHERE o_orderstatus IN ('O', 'F')) {W1}",
     "bootstrap_ci": f"""WITH {SCORES}, ix AS (SELECT row_number() OVER (ORDER BY {_part("id")}, id) - 1 AS i, CAST(label AS DOUBLE) AS x, count(*) OVER () AS n FROM scores),
-m AS (SELECT b, avg(x) AS m FROM (SELECT b, {_drawn('bootstrap', 'b', 'k', 'n')} AS i FROM range(0, 100) AS r(b), (SELECT i AS k, n FROM ix)) JOIN ix USING (i) GROUP BY b)
+m AS (SELECT b, avg(x) AS m FROM (SELECT b, {_drawn('bootstrap', 'b', 'k', 'n')} AS i FROM range(0, 1000) AS r(b), (SELECT i AS k, n FROM ix)) JOIN ix USING (i) GROUP BY b)
 SELECT round((SELECT avg(x) FROM ix), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m""",
     "paired_bootstrap": f"""WITH {PTS}, {REL}, {LENGTHS}, ix AS (SELECT row_number() OVER (ORDER BY {_part("traj_id")}, traj_id) - 1 AS i, a, b, count(*) OVER () AS n FROM lengths),
-dr AS (SELECT rd, a, b FROM (SELECT rd, {_drawn('paired', 'rd', 'k', 'n')} AS i FROM range(0, 20) AS r(rd), (SELECT i AS k, n FROM ix)) JOIN ix USING (i)),
+dr AS (SELECT rd, a, b FROM (SELECT rd, {_drawn('paired', 'rd', 'k', 'n')} AS i FROM range(0, 1000) AS r(rd), (SELECT i AS k, n FROM ix)) JOIN ix USING (i)),
 ds AS (SELECT rd, avg(abs(a - b)) AS d FROM (SELECT rd, a, row_number() OVER (PARTITION BY rd ORDER BY a) AS r FROM dr) JOIN (SELECT rd, b, row_number() OVER (PARTITION BY rd ORDER BY b) AS r FROM dr) USING (rd, r) GROUP BY rd),
 one AS (SELECT avg(abs(a - b)) AS d FROM (SELECT a, row_number() OVER (ORDER BY a) AS r FROM ix) JOIN (SELECT b, row_number() OVER (ORDER BY b) AS r FROM ix) USING (r))
 SELECT round((SELECT d FROM one), 3) AS value, round(quantile_cont(d, 0.025), 3) AS ci_low, round(quantile_cont(d, 0.975), 3) AS ci_high FROM ds""",
     "two_sample_bootstrap": f"""WITH {SCORES}, ix AS (SELECT label AS side, row_number() OVER (PARTITION BY label ORDER BY {_part("id")}, id) - 1 AS i, score AS x, count(*) OVER (PARTITION BY label) AS n FROM scores),
-dr AS (SELECT rd, side, x FROM (SELECT rd, side, CASE WHEN side = 0 THEN {_drawn('side0', 'rd', 'k', 'n')} ELSE {_drawn('side1', 'rd', 'k', 'n')} END AS i FROM range(0, 20) AS r(rd), (SELECT side, i AS k, n FROM ix)) JOIN ix USING (side, i)),
+dr AS (SELECT rd, side, x FROM (SELECT rd, side, CASE WHEN side = 0 THEN {_drawn('side0', 'rd', 'k', 'n')} ELSE {_drawn('side1', 'rd', 'k', 'n')} END AS i FROM range(0, 1000) AS r(rd), (SELECT side, i AS k, n FROM ix)) JOIN ix USING (side, i)),
 every AS (SELECT * FROM dr UNION ALL SELECT -1, side, x FROM ix),
 g AS (SELECT rd, x, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (side = 1) AS DOUBLE) AS n1 FROM every GROUP BY ALL),
 w AS (SELECT rd, sum(abs(f0 - f1) * (nxt - x)) AS w1 FROM (SELECT rd, x, lead(x) OVER o AS nxt, sum(n0) OVER o / sum(n0) OVER (PARTITION BY rd) AS f0, sum(n1) OVER o / sum(n1) OVER (PARTITION BY rd) AS f1 FROM g WINDOW o AS (PARTITION BY rd ORDER BY x)) GROUP BY rd)
@@ -250,9 +250,9 @@ SELECT e.traj_id, round(ln(greatest(a.p, 1e-12)) + ln(greatest(b.p, 1e-12)) + ln
     "near_edges": f"""WITH {NETWORK}, {DRIVES}, p AS (SELECT * FROM {utm('drv')}), e AS (SELECT edge_id, a.x AS ux, a.y AS uy, b.x - a.x AS dx, b.y - a.y AS dy FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v),
 o AS (SELECT traj_id, pos, edge_id, x - ux AS px, y - uy AS py, dx, dy, least(greatest(((x - ux) * dx + (y - uy) * dy) / greatest(dx * dx + dy * dy, 1e-12), 0), 1) AS f FROM p, e)
 SELECT traj_id, count(*) AS n, round(avg(d), 3) AS mean_offset_m FROM (SELECT traj_id, sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)) AS d FROM o) WHERE d <= 200 GROUP BY traj_id""",
-    "shadow_sets": f"""WITH {PTS}, tr AS (SELECT DISTINCT traj_id FROM pts), mem AS (SELECT shadow, traj_id FROM (SELECT shadow, traj_id, row_number() OVER (PARTITION BY shadow ORDER BY {u("'4'", "'shadow'", 'shadow', 'traj_id')}, traj_id) AS r FROM tr, range(0, 8) AS s(shadow)) WHERE r <= (SELECT greatest(1, round_even(count(*) * 0.5e0, 0)) FROM tr))
+    "shadow_sets": f"""WITH {PTS}, tr AS (SELECT DISTINCT traj_id FROM pts), mem AS (SELECT shadow, traj_id FROM (SELECT shadow, traj_id, row_number() OVER (PARTITION BY shadow ORDER BY {u("'4'", "'shadow'", 'shadow', 'traj_id')}, traj_id) AS r FROM tr, range(0, 16) AS s(shadow)) WHERE r <= (SELECT greatest(1, round_even(count(*) * 0.5e0, 0)) FROM tr))
 SELECT CAST(shadow AS INT) AS shadow, count(*) AS n, min(traj_id) AS first, max(traj_id) AS last FROM mem GROUP BY shadow""",
-    "lira_scores": f"""WITH {PTS}, {CELLS}, {PAIRS}, tr AS (SELECT DISTINCT traj_id FROM pts), mem AS (SELECT shadow, traj_id FROM (SELECT shadow, traj_id, row_number() OVER (PARTITION BY shadow ORDER BY {u("'4'", "'shadow'", 'shadow', 'traj_id')}, traj_id) AS r FROM tr, range(0, 8) AS s(shadow)) WHERE r <= (SELECT greatest(1, round_even(count(*) * 0.5e0, 0)) FROM tr)),
+    "lira_scores": f"""WITH {PTS}, {CELLS}, {PAIRS}, tr AS (SELECT DISTINCT traj_id FROM pts), mem AS (SELECT shadow, traj_id FROM (SELECT shadow, traj_id, row_number() OVER (PARTITION BY shadow ORDER BY {u("'4'", "'shadow'", 'shadow', 'traj_id')}, traj_id) AS r FROM tr, range(0, 16) AS s(shadow)) WHERE r <= (SELECT greatest(1, round_even(count(*) * 0.5e0, 0)) FROM tr)),
 c AS (SELECT shadow, context, symbol, count(*) AS n FROM pairs JOIN mem USING (traj_id) GROUP BY ALL), t AS (SELECT shadow, context, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT shadow, count(DISTINCT symbol) AS v FROM c GROUP BY ALL),
 lp AS (SELECT traj_id, v.shadow, sum(ln((coalesce(n, 0) + 1e0) / (coalesce(total, 0) + v))) AS lp FROM pairs p CROSS JOIN v LEFT JOIN t ON t.shadow = v.shadow AND t.context = p.context LEFT JOIN c ON c.shadow = v.shadow AND c.context = p.context AND c.symbol = p.symbol GROUP BY ALL),
 st AS (SELECT lp.traj_id, count(m.traj_id) AS ni, avg(lp) FILTER (m.traj_id IS NOT NULL) AS mi, greatest(coalesce(stddev_samp(lp) FILTER (m.traj_id IS NOT NULL), 0), 1e-6) AS si, count(*) - count(m.traj_id) AS no, avg(lp) FILTER (m.traj_id IS NULL) AS mo, greatest(coalesce(stddev_samp(lp) FILTER (m.traj_id IS NULL), 0), 1e-6) AS so,
@@ -271,6 +271,21 @@ SELECT result_id, metric, CASE WHEN NOT bad THEN round(value, 6) END AS value, C
     "results_union": f"WITH {RESULTS} SELECT family, count(*) AS n, round(sum(value), 4) AS total FROM res GROUP BY family",
     "arm_merge": """WITH s AS (SELECT l_returnflag AS target_ref, 'line' AS stat, CAST(l_linenumber AS DOUBLE) AS value FROM lineitem UNION ALL SELECT l_returnflag, 'flags', CAST(length(l_returnflag) AS DOUBLE) FROM lineitem)
 SELECT target_ref, stat, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value FROM s GROUP BY ALL""",
-    "threshold_survival": f"WITH {SCORES} SELECT i / 10e0 AS threshold, (SELECT count(*) FROM scores WHERE floor(score % 1000 / 1000 * 10) / 10 >= i / 10e0) AS survivors FROM range(0, 11) AS r(i)",
+    "threshold_survival": f"WITH {SCORES} SELECT i / 10e0 AS threshold, (SELECT count(*) FROM scores WHERE score % 1000 / 1000 >= i / 10e0) AS survivors FROM range(0, 11) AS r(i)",
+    "segment_view": f"WITH {NETWORK}, {ZONED}, {ROUTES} SELECT traj_id, CAST(traj_id AS BIGINT) AS user_id, CAST(pos - 1 AS INT) AS pos, edge_id FROM rt",
+    "strong_component": f"""WITH RECURSIVE {NETWORK}, reach AS (SELECT DISTINCT u AS a, u AS b FROM edges UNION SELECT a, v FROM reach JOIN edges ON b = u),
+both_ways AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a), parts AS (SELECT a, min(b) AS part FROM both_ways GROUP BY a)
+SELECT a AS node_id FROM parts WHERE part = (SELECT part FROM parts GROUP BY part ORDER BY count(*) DESC, part LIMIT 1)""",
+    "shortest_paths": f"WITH {NETWORK}, " + ", ".join(["d0 AS (SELECT CAST(0 AS BIGINT) AS n, 0e0 AS d)"] + [f"d{k} AS MATERIALIZED (SELECT n, min(d) AS d FROM (SELECT n, d FROM d{k - 1} UNION ALL SELECT v, d + length_m FROM d{k - 1} JOIN edges ON n = u) GROUP BY n)" for k in range(1, 25)]) + " SELECT n AS node_id, round(d, 3) AS metres FROM d24",
+    "network_visits": f"WITH {NETWORK}, {ZONED}, {ROUTES} SELECT zone AS cell, count(*) AS n FROM rt JOIN zoned USING (edge_id) GROUP BY zone",
+    "route_lengths": f"WITH {NETWORK}, {ZONED}, {ROUTES} SELECT traj_id, round(sum(length_m), 3) AS length_m FROM rt JOIN edges USING (edge_id) GROUP BY traj_id",
+    "unpaired_cell_jsd": f"""WITH {NETWORK}, {ZONED}, {ROUTES}, c AS (SELECT zone, CAST(count(*) FILTER (CAST(traj_id AS BIGINT) % 2 = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (CAST(traj_id AS BIGINT) % 2 = 1) AS DOUBLE) AS b FROM rt JOIN zoned USING (edge_id) GROUP BY zone),
+s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM c)
+SELECT round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS jsd FROM s""",
+    "display_order": """SELECT *, row_number() OVER (ORDER BY CASE scope WHEN 'raw' THEN 1 WHEN 'protected' THEN 2 WHEN 'synthetic' THEN 3 ELSE 4 END, CASE WHEN arm_id IN ('', 'none') THEN 0 ELSE 1 END, arm_id, coalesce(epsilon, 'inf'::DOUBLE), coalesce(unit_m, 'inf'::DOUBLE), target_ref) AS place FROM (
+SELECT DISTINCT *, scope || ':' || arm_id AS target_ref FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'protected' ELSE 'synthetic' END AS scope,
+CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_returnflag = 'N' THEN 'none' ELSE 'arm_' || l_returnflag END AS arm_id, CASE WHEN l_quantity > 25 THEN l_tax END AS epsilon, CASE WHEN l_quantity > 10 THEN l_discount END AS unit_m FROM lineitem))""",
+    "params_order": """SELECT DISTINCT 'epsilon=' || CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax AS VARCHAR) ELSE 'x' END || ',unit_m=' || l_linenumber AS params, 'epsilon' AS name, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax AS DOUBLE) END AS first, CAST(l_linenumber AS DOUBLE) AS second FROM lineitem""",
+    "results_csv": f"WITH {RESULTS} SELECT result_id || ':' || metric AS metric_id, 1 AS seed, 2 AS split_seed, family, known_points, CASE WHEN known_points <> 1992 THEN round(value, 4) END AS value, known_points = 1992 AS undefined FROM res",
     "result_ids": f"""WITH {RESULTS} SELECT DISTINCT result_id, metric, family, CASE WHEN target_ref = 'raw' THEN 'raw' ELSE 'protected' END AS scope, CASE WHEN target_ref = 'raw' THEN '' ELSE 'none' END AS mechanism, known_points AS k, metric <> 'none' AS share FROM res""",
 }

@@ -243,11 +243,11 @@ def digest(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def pipeline_hash(cfg: RunConfig) -> str:
-    """Of all that the matched pool depends on; the run's seed is no part of it."""
-    return digest([cfg.map_region, cfg.map_bbox, cfg.utm_zone, cfg.dataset, cfg.dataset_path, vars(cfg.cleaning), cfg.matcher, cfg.matching, cfg.min_match_score, cfg.max_users, cfg.fractions, cfg.split_seed])
+def pipeline_hash(cfg: RunConfig, snapshot: str = "") -> str:
+    """Of all that the matched pool depends on, the network's own hash (snapshot) included; the run's seed is no part of it."""
+    return digest([snapshot, cfg.map_region, cfg.map_bbox, cfg.utm_zone, cfg.dataset, cfg.dataset_path, vars(cfg.cleaning), cfg.matcher, cfg.matching, cfg.min_match_score, cfg.max_users, cfg.fractions, cfg.split_seed])
 
 
-def release_hash(cfg: RunConfig, arm: Arm) -> str:
+def release_hash(cfg: RunConfig, arm: Arm, snapshot: str = "") -> str:
     """Of a mechanism's release: the pipeline, the arm and the run's seed."""
-    return digest([pipeline_hash(cfg), arm.name, arm.params, cfg.seed])
+    return digest([pipeline_hash(cfg, snapshot), arm.name, arm.params, cfg.seed])

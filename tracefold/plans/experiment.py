@@ -36,6 +36,15 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def heap_peak_mb(spark: SparkSession) -> float:
+    """The largest heap use of the driver's machine since the last call; in local mode that is where the work is."""
+    pools = [p for p in spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans() if p.getType().toString() == "Heap memory"]
+    peak = sum(p.getPeakUsage().getUsed() for p in pools) / 2**20
+    for p in pools:
+        p.resetPeakUsage()
+    return peak
+
+
 class Experiment:
     """Lazy tables of a run; each is read from the cache if an earlier run made it."""
 
@@ -47,8 +56,10 @@ class Experiment:
             raise ConsistencyError(f"the map is of {cfg.map_region}, the dataset of {native}")
         if cfg.native_region and cfg.native_region != native:
             raise ConsistencyError(f"{cfg.dataset} is of {native}, not of {cfg.native_region}")
-        self.base = f"{cfg.cache_dir}/{pipeline_hash(cfg)}"
         self._network = None
+        self.snapshot = trajectories.network_hash(*self.network())  # a map built anew makes a pool of its own
+        self.hash = pipeline_hash(cfg, self.snapshot)
+        self.base = f"{cfg.cache_dir}/{self.hash}"
 
     def network(self) -> tuple[DataFrame, DataFrame]:
         if self._network is None:
@@ -83,15 +94,19 @@ class Experiment:
         if arm.name == "none":
             return pool
         noisy = lambda: adapters.as_arrays(protect.geoind(adapters.as_long(pool), arm.get("epsilon", MECHANISMS), arm.get("unit_m", MECHANISMS), self.cfg.seed))
-        return cached(self.spark, f"{self.base}/release-{release_hash(self.cfg, arm)}", noisy)
+        return cached(self.spark, f"{self.base}/release-{release_hash(self.cfg, arm, self.snapshot)}", noisy)
 
     def rematched(self, arm: Arm) -> DataFrame:
         """The release on the network again; the identity arm is the pool itself."""
         if arm.name == "none":
             return self.matched()
-        every = self._match(self.release(arm), f"{self.base}/rematched-{release_hash(self.cfg, arm)}")
+        every = self._match(self.release(arm), f"{self.base}/rematched-{release_hash(self.cfg, arm, self.snapshot)}")
         return every.where(F.col("match_score") >= self.cfg.min_match_score)
 
+    def rematch_dropped(self, arm: Arm | None) -> int | None:
+        """Trajectories of a release that don't match well enough; none are counted without a release."""
+        return None if arm is None else self.release(arm).count() - self.rematched(arm).count()
+
     def paths(self, arrays: DataFrame) -> DataFrame:
         def xy(p):
             x, y = geo.utm(p["lon"], p["lat"], self.cfg.utm_zone)
@@ -113,6 +128,7 @@ class Experiment:
         fixed |= more
         made = values.collect()  # a handful of metrics; the attack runs here
         fixed["attack_runtime_s"] = time.perf_counter() - began
+        fixed["peak_memory_mb"] = heap_peak_mb(self.spark)
         kinds = {"int": int, "double": float, "string": str}
         told = [tuple(None if x is None else kinds[t](x) for x, t in ((r[n] if n in r else fixed.get(n), t) for n, t in COLUMNS.items())) for r in made]
         return self.spark.createDataFrame(told, results.SCHEMA)
@@ -139,7 +155,7 @@ class Experiment:
                 columns = {"top1_acc": 1, "topk_acc": self.cfg.top_k, "linkage_rate": 1}
                 hits = reduce(lambda a, b: a.join(b, "probe_id"), [attacks.top_k(ranking, several, columns[m]).withColumnRenamed("hit", m) for m in self.cfg.metrics]).cache()
                 values = self._means(hits, {m: m for m in self.cfg.metrics}, "probe_id")
-                out.append(self.rows(values, "reidentification", scope, arm, began, known_points=int(k), n_probes=hits.count(), n_pool=gallery.count(), n_gallery_users=gallery.select("user_id").distinct().count()))
+                out.append(self.rows(values, "reidentification", scope, arm, began, known_points=int(k), n_probes=hits.count(), n_pool=gallery.count(), n_gallery_users=gallery.select("user_id").distinct().count(), n_rematch_dropped=self.rematch_dropped(arm)))
         return out
 
     def matched_paths(self, matched: DataFrame) -> DataFrame:
@@ -257,7 +273,7 @@ def run(spark: SparkSession, cfg: RunConfig) -> DataFrame:
     """Run a configuration; writes results.csv, metrics.csv, matrix.csv and run.json to its folder, and returns the rows."""
     began = time.perf_counter()
     e = Experiment(spark, cfg)
-    provenance = {"exp_id": cfg.exp_id, "config_hash": pipeline_hash(cfg), "git_commit": git_commit(), "seed": cfg.seed, "split_seed": cfg.split_seed, "max_users": cfg.max_users, "created_at": datetime.datetime.now(datetime.UTC).isoformat()}
+    provenance = {"exp_id": cfg.exp_id, "config_hash": e.hash, "git_commit": git_commit(), "seed": cfg.seed, "split_seed": cfg.split_seed, "max_users": cfg.max_users, "created_at": datetime.datetime.now(datetime.UTC).isoformat()}
     rows = e.all_rows().withColumns({k: F.lit(v).cast(COLUMNS[k]) for k, v in provenance.items()}).cache()
     seconds = time.perf_counter() - began
     masked = reporting.mask_unmeasurable(rows.withColumn("run_runtime_s", F.lit(seconds)))

@@ -34,6 +34,17 @@ def get_spark(app: str = "tracefold", cores: str | int = "*", **conf: str) -> Sp
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session may leave it unset and gets one of its own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tracefold.shared.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tracefold-')}"
+        spark.conf.set("tracefold.shared.dir", found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that Python workers find it wherever they run."""
     sc = spark.sparkContext

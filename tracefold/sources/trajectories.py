@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .results import refuse_raw
+
 HEADER_LINES, FIELDS = 6, 7
 
 
@@ -57,6 +62,38 @@ def write_network(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     edges.write.mode("overwrite").parquet(f"{folder}/edges.parquet")
 
 
+def network_hash(nodes: DataFrame, edges: DataFrame) -> str:
+    """16 hex digits of what both tables hold, whatever the order of their rows and columns and the way they are stored."""
+    parts = []
+    for t in (nodes, edges):
+        row = F.xxhash64(*sorted(t.columns))
+        parts.append([sorted(t.columns), *map(str, t.agg(F.count("*"), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first())])
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:16]
+
+
+def build_network(spark: SparkSession, graphml: str, folder: str, region: str, box: tuple[float, float, float, float] | None = None) -> dict:
+    """A region's map from a GraphML road network: its tables, graph.graphml and meta.json; returns what meta.json says.
+
+    box: (min lon, min lat, max lon, max lat); edges with both ends inside stay.
+    """
+    refuse_raw(folder)
+    nodes, edges = read_graphml(spark, graphml)
+    if box is not None:
+        nodes = nodes.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+        for end in ("u", "v"):
+            edges = edges.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+    write_network(nodes, edges, folder)
+    nodes, edges = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("nodes", "edges"))
+    meta = {"region": region, "bbox": box, "n_nodes": nodes.count(), "n_edges": edges.count(), "network_hash": network_hash(nodes, edges), "created_at": datetime.datetime.now(datetime.UTC).isoformat()}
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    source, target = path(graphml), path(f"{folder}/graph.graphml")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, True, conf)
+    out = target.getFileSystem(conf).create(path(f"{folder}/meta.json"), True)
+    out.write(bytearray(json.dumps(meta).encode()))
+    out.close()
+    return meta
+
+
 def read_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """A network from its tables, or from graph.graphml where they aren't there; its meta.json must be."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
