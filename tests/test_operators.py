@@ -53,11 +53,29 @@ def test_cleaning(spark):
     assert got["spiked"].outliers == 3 and got["late"].outliers == 1
 
 
-def test_long_trajectories_fold_in_python(spark, monkeypatch):
-    rows = [("l", "a", l_shape()), ("m", "b", l_shape()[::-1])]
-    native = cleaning.clean(trajectories(spark, rows), cleaning.CleaningRules(min_points=1, min_length_m=0)).collect()
-    monkeypatch.setattr(cleaning, "FOLD_LIMIT", 3)
-    assert sorted(cleaning.clean(trajectories(spark, rows), cleaning.CleaningRules(min_points=1, min_length_m=0)).collect()) == sorted(native)
+def test_cleaning_by_plain_folds(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(cleaning, "AHEAD", 2)  # several steps beyond each outlier
+
+    def metres(a, b):
+        s = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * geo.EARTH_M * math.asin(math.sqrt(s))
+
+    def plain(points, follows):
+        kept = []
+        for i, p in enumerate(points):
+            if not kept or follows(points[kept[-1]], p):
+                kept.append(i)
+        return kept
+
+    for n in (0, 1, 2, 40, 40, 40, 3000):
+        jumps = np.where(rng.random(n) < 0.2, 0.05, 0.0003)
+        lat, lon = 39.9 + rng.normal(0, 1, n) * jumps, 116.3 + rng.normal(0, 1, n) * jumps
+        t = np.cumsum(rng.choice([-4.0, 0.0, 2.0, 6.0], n, p=[0.1, 0.1, 0.4, 0.4]))
+        points = list(zip(lat.tolist(), lon.tolist(), t.tolist()))
+        slow = plain(points, lambda a, b: b[2] > a[2] and metres(a, b) / (b[2] - a[2]) * 3.6 <= 150)
+        assert cleaning._not_fast(lat, lon, t, 150.0).tolist() == slow
+        assert cleaning._spaced(t, 5.0).tolist() == plain(points, lambda a, b: b[2] - a[2] >= 5)
 
 
 def test_split(spark):

@@ -1,22 +1,22 @@
 """Cleaning of trajectories: order-dependent folds over each one's points.
 
-A fold in Catalyst copies its kept array at every point, so it is used up to FOLD_LIMIT
-points; longer trajectories go through a Python fold of the same rules in Arrow batches.
+A fold gets the coordinates as arrays of doubles in Arrow batches and returns the places of
+the points it keeps, so all other columns stay in the JVM. One form serves every length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
-FOLD_LIMIT = 2000
-POINTS = "array<struct<lat:double,lon:double,t:double>>"
+#: Points that are looked at in one step beyond an outlier.
+AHEAD = 64
 
 
 @dataclass(frozen=True)
@@ -27,59 +27,73 @@ class CleaningRules:
     resample_s: float = 5.0
 
 
-def _fold(points: Column, keep: Callable[[Column, Column], Column]) -> Column:
-    """The points p for which keep(last kept, p) holds; the first always stays."""
-    none = F.array().cast(POINTS)
-    return F.aggregate(points, none, lambda kept, p: F.when((F.size(kept) == 0) | keep(F.element_at(kept, -1), p), F.concat(kept, F.array(p))).otherwise(kept))
-
-
-def _fast(last: Column, p: Column, limit: float) -> Column:
-    dt = p["t"] - last["t"]
-    return (dt <= 0) | (geo.between(last, p) / F.when(dt > 0, dt) * 3.6 > limit)
-
-
-def _by_length(df: DataFrame, native: Callable[[Column], Column], python: Callable[[list], list]) -> DataFrame:
-    """Replace `points` by a fold of it, natively or, beyond FOLD_LIMIT points, in Python."""
-    short = df.where(F.size("points") <= FOLD_LIMIT).withColumn("points", native(F.col("points")))
-    schema = ", ".join(f"`{f.name}` {POINTS if f.name == 'points' else f.dataType.simpleString()}" for f in df.schema)
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(points=[python(list(p)) for p in batch["points"]])
-
-    return short.unionByName(df.where(F.size("points") > FOLD_LIMIT).mapInPandas(apply, schema))
-
-
-def _metres(a: dict, b: dict) -> float:
-    from math import asin, cos, radians, sin, sqrt
-
-    s = sin(radians(b["lat"] - a["lat"]) / 2) ** 2 + cos(radians(a["lat"])) * cos(radians(b["lat"])) * sin(radians(b["lon"] - a["lon"]) / 2) ** 2
-    return 2 * geo.EARTH_M * asin(sqrt(s))
-
-
-def _python_fold(points: list, keep: Callable[[dict, dict], bool]) -> list:
-    kept: list = []
-    for p in points:
-        if not kept or keep(kept[-1], p):
-            kept.append(p)
-    return kept
+def _slow_enough(phi: np.ndarray, lam: np.ndarray, t: np.ndarray, a, b, limit: float) -> np.ndarray:
+    """Whether points b come after points a and are no faster than the limit (km/h) from them."""
+    dt = t[b] - t[a]
+    s = np.sin((phi[b] - phi[a]) / 2) ** 2 + np.cos(phi[a]) * np.cos(phi[b]) * np.sin((lam[b] - lam[a]) / 2) ** 2
+    metres = 2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(s, 1.0)))
+    return (dt > 0) & (metres * 3.6 <= limit * dt)
+
+
+def _not_fast(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, limit: float) -> np.ndarray:
+    """Places of the points that follow the last kept one slowly enough; the first stays."""
+    n, phi, lam = len(t), np.radians(lat), np.radians(lon)
+    if not n:
+        return np.zeros(0, np.int32)
+    every = np.arange(n)
+    breaks = np.flatnonzero(~_slow_enough(phi, lam, t, every[:-1], every[1:], limit)) + 1
+    keep = np.ones(n, bool)
+    done = 0  # all before is decided, and place done is kept
+    while (k := np.searchsorted(breaks, done, "right")) < len(breaks):
+        out = int(breaks[k])  # points up to here follow one another; this one doesn't
+        last, found, step = out - 1, n, AHEAD
+        ahead = out + 1
+        while ahead < n:
+            end = min(n, ahead + step)
+            fit = np.flatnonzero(_slow_enough(phi, lam, t, last, every[ahead:end], limit))
+            if len(fit):
+                found = ahead + int(fit[0])
+                break
+            ahead, step = end, 2 * step
+        keep[out:found] = False
+        done = found
+    return np.flatnonzero(keep).astype(np.int32)
+
+
+def _spaced(t: np.ndarray, gap: float) -> np.ndarray:
+    """Places of the points that are the gap or more after the last kept one; the first stays."""
+    kept, last = [], 0.0
+    for i, now in enumerate(t.tolist()):
+        if not kept or now - last >= gap:
+            kept.append(i)
+            last = now
+    return np.array(kept, np.int32)
+
+
+def _at(places: str) -> Column:
+    """The points of those places."""
+    return F.transform(places, lambda i: F.element_at("points", i + 1))
 
 
 def drop_fast(df: DataFrame, max_speed_kmh: float) -> DataFrame:
     """Drop points that don't come after the last kept one or are faster than the limit from it; adds outliers."""
 
-    def slow_enough(a: dict, b: dict) -> bool:
-        dt = b["t"] - a["t"]
-        return dt > 0 and _metres(a, b) / dt * 3.6 <= max_speed_kmh
+    @F.pandas_udf("array<int>")
+    def kept(lat: pd.Series, lon: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([_not_fast(*p, max_speed_kmh) for p in zip(lat, lon, t)], dtype=object)
 
-    before = df.withColumn("__n", F.size("points"))
-    kept = _by_length(before, lambda c: _fold(c, lambda last, p: ~_fast(last, p, max_speed_kmh)), lambda ps: _python_fold(ps, slow_enough))
-    return kept.withColumn("outliers", F.col("__n") - F.size("points")).drop("__n")
+    found = df.withColumn("__kept", kept("points.lat", "points.lon", "points.t")).withColumn("outliers", F.size("points") - F.size("__kept"))
+    return found.withColumn("points", _at("__kept")).drop("__kept")
 
 
 def thin(df: DataFrame, resample_s: float) -> DataFrame:
     """Keep a point if it is resample_s or more after the last kept one; nothing is interpolated."""
-    return _by_length(df, lambda c: _fold(c, lambda last, p: p["t"] - last["t"] >= resample_s), lambda ps: _python_fold(ps, lambda a, b: b["t"] - a["t"] >= resample_s))
+
+    @F.pandas_udf("array<int>")
+    def kept(t: pd.Series) -> pd.Series:
+        return pd.Series([_spaced(p, resample_s) for p in t], dtype=object)
+
+    return df.withColumn("__kept", kept("points.t")).withColumn("points", _at("__kept")).drop("__kept")
 
 
 def geometry(df: DataFrame) -> DataFrame:

@@ -44,12 +44,11 @@ def stay_points(arrays: DataFrame, radius_m: float = 200.0, dwell_s: float = 300
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for traj, user, pts in zip(batch["traj_id"], batch["user_id"], batch["points"]):
-                lat, lon, t = (np.array([p[c] for p in pts], float) for c in ("lat", "lon", "t"))
+            for traj, user, lat, lon, t in zip(*(batch[c] for c in ("traj_id", "user_id", "lat", "lon", "t"))):
                 rows += [(traj, user, k, *s) for k, s in enumerate(_stays(lat, lon, t, radius_m, dwell_s))]
             yield pd.DataFrame(rows, columns=["traj_id", "user_id", "stay", "lat", "lon", "t", "n"])
 
-    return arrays.select("traj_id", "user_id", "points").mapInPandas(apply, STAY.format(user=arrays.schema["user_id"].dataType.simpleString()))
+    return arrays.select("traj_id", "user_id", "points.lat", "points.lon", "points.t").mapInPandas(apply, STAY.format(user=arrays.schema["user_id"].dataType.simpleString()))
 
 
 def local_hour(t: Column, tz_offset_h: float = TZ_OFFSET_H) -> Column:
