@@ -74,7 +74,7 @@ def test_cleaning_by_plain_folds(monkeypatch):
         t = np.cumsum(rng.choice([-4.0, 0.0, 2.0, 6.0], n, p=[0.1, 0.1, 0.4, 0.4]))
         points = list(zip(lat.tolist(), lon.tolist(), t.tolist()))
         slow = plain(points, lambda a, b: b[2] > a[2] and metres(a, b) / (b[2] - a[2]) * 3.6 <= 150)
-        assert cleaning._not_fast(lat, lon, t, 150.0).tolist() == slow
+        assert cleaning.not_fast(lat, lon, t, 150.0).tolist() == slow
         assert cleaning._spaced(t, 5.0).tolist() == plain(points, lambda a, b: b[2] - a[2] >= 5)
 
 

@@ -35,7 +35,7 @@ def _slow_enough(phi: np.ndarray, lam: np.ndarray, t: np.ndarray, a, b, limit: f
     return (dt > 0) & (metres * 3.6 <= limit * dt)
 
 
-def _not_fast(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, limit: float) -> np.ndarray:
+def not_fast(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, limit: float) -> np.ndarray:
     """Places of the points that follow the last kept one slowly enough; the first stays."""
     n, phi, lam = len(t), np.radians(lat), np.radians(lon)
     if not n:
@@ -80,7 +80,7 @@ def drop_fast(df: DataFrame, max_speed_kmh: float) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def kept(lat: pd.Series, lon: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([_not_fast(*p, max_speed_kmh) for p in zip(lat, lon, t)], dtype=object)
+        return pd.Series([not_fast(*p, max_speed_kmh) for p in zip(lat, lon, t)], dtype=object)
 
     found = df.withColumn("__kept", kept("points.lat", "points.lon", "points.t")).withColumn("outliers", F.size("points") - F.size("__kept"))
     return found.withColumn("points", _at("__kept")).drop("__kept")

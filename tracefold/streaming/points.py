@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.cleaning import _metres
+from ..operators.cleaning import not_fast
 
 POINT = "traj_id string, t double, lat double, lon double"
 
@@ -22,15 +22,13 @@ def drop_fast(points: DataFrame, max_speed_kmh: float = 200.0) -> DataFrame:
     """
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = dict(zip(("t", "lat", "lon"), state.get)) if state.exists else None
-        kept = []
-        for p in pd.concat(list(batches)).sort_values("t", kind="stable").to_dict("records"):
-            dt = p["t"] - last["t"] if last else None
-            if last is None or (dt > 0 and _metres(last, p) / dt * 3.6 <= max_speed_kmh):
-                kept.append((key[0], p["t"], p["lat"], p["lon"]))
-                last = p
-        state.update((float(last["t"]), float(last["lat"]), float(last["lon"])))
-        yield pd.DataFrame(kept, columns=["traj_id", "t", "lat", "lon"])
+        rows = pd.concat(list(batches))[["traj_id", "t", "lat", "lon"]].sort_values("t", kind="stable")
+        if state.exists:  # the last kept point goes first, and stays as a first point does
+            rows = pd.concat([pd.DataFrame([(key[0], *state.get)], columns=rows.columns), rows])
+        kept = rows.iloc[not_fast(*(rows[c].to_numpy(float) for c in ("lat", "lon", "t")), max_speed_kmh)]
+        new = kept.iloc[1:] if state.exists else kept
+        state.update(tuple(float(kept[c].iloc[-1]) for c in ("t", "lat", "lon")))
+        yield new
 
     return points.groupBy("traj_id").applyInPandasWithState(keep, POINT, "t double, lat double, lon double", "append", GroupStateTimeout.NoTimeout)
 
