@@ -124,6 +124,9 @@ def test_experiment(spark, world):
     page = report.generate(spark, f"{world}/out", f"{world}/report")
     text = "\n".join(r[0] for r in spark.read.text(page, wholetext=True).collect())
     assert "# Risk report" in text and "reidentification" in text and "non-members" in text
+    assert "## Risk against utility" in text and "| experiment | seeds |" in text and "plots/mechanisms_reidentification.svg" in text
+    asked = {p.rsplit("/", 1)[1] for p in glob.glob(f"{world}/out/x/plots/*.svg")}
+    assert "tradeoff_reidentification.svg" in asked and "by_epsilon_reidentification.svg" in asked and not any(p.startswith(("runtime", "mechanisms")) for p in asked)
     loaded = report.load(spark, f"{world}/out")
     points = {r.target_ref: r for r in report.tradeoff_points(loaded, "reidentification").collect()}
     assert points["raw"].x == 0 and points["protected:none"].x == 0
@@ -137,9 +140,9 @@ def test_evidence(spark):
     assert len(routes) == 8 and all(len(r.edge_seq) >= 3 and all(ends[a][1] == ends[b][0] for a, b in zip(r.edge_seq, r.edge_seq[1:])) for r in routes)
     with pytest.raises(ValueError):
         evidence.seed_population(spark, edges, 3, 99, 1, tries=2)
-    rows = evidence.evidence(spark, nodes, edges, [8.0], shadows=4, population=8, min_edges=3, grid=3)
+    rows = evidence.evidence(spark, nodes, edges, [8.0], shadows=4, population=8, min_edges=3, grid=3, rounds=50)
     by = {r.arm: r for r in rows.collect()}
-    assert set(by) == {"rn_ldp_synth", "markov"} and all(0 <= r.auc <= 1 and 0 <= r.jsd <= 1 and r.length_w1_m >= 0 for r in by.values())
+    assert set(by) == {"rn_ldp_synth", "markov"} and all(0 <= r.auc <= 1 and 0 <= r.jsd <= 1 and 0 <= r.jsd_low <= r.jsd_high <= 1 and 0 <= r.length_low <= r.length_high for r in by.values())
     assert evidence.evidence_table(rows).count("|") == 24
 
 

@@ -47,14 +47,14 @@ def measurable(n_nonmembers: Column, fpr: Column | float) -> Column:
     return n_nonmembers * fpr >= 1 - 1e-9
 
 
-def js_divergence(counts: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """One row, jsd: bits between two count columns over the key; null where a side is empty."""
-    totals = counts.agg(F.sum(left).cast("double").alias("__l"), F.sum(right).cast("double").alias("__r"))
-    both = counts.join(F.broadcast(totals))
+def js_divergence(counts: DataFrame, key: str, left: str, right: str, *by: str) -> DataFrame:
+    """(by, jsd), one row without `by`: bits between two count columns over the key; null where a side is empty."""
+    totals = counts.groupBy(*by).agg(F.sum(left).cast("double").alias("__l"), F.sum(right).cast("double").alias("__r"))
+    both = counts.join(totals, list(by)) if by else counts.join(F.broadcast(totals))
     p, q = F.col(left) / F.when(F.col("__l") > 0, F.col("__l")), F.col(right) / F.when(F.col("__r") > 0, F.col("__r"))
     m = (p + q) / 2
     term = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
-    return both.agg(F.when((F.max("__l") > 0) & (F.max("__r") > 0), F.sum(term) / 2).alias("jsd"))
+    return both.groupBy(*by).agg(F.when((F.max("__l") > 0) & (F.max("__r") > 0), F.sum(term) / 2).alias("jsd"))
 
 
 def w1(values: DataFrame, value: str = "x", side: str = "side", *by: str) -> DataFrame:
@@ -128,3 +128,21 @@ def two_sample_w1_bootstrap(left: DataFrame, right: DataFrame, rounds: int, ci:
     for side, sample in ((0, left), (1, right)):
         drawn.append(resampled(sample.count(), rounds, seed, f"side{side}", spark).join(sample, "i").select("b", "x", F.lit(side).alias("side")))
     return w1(both).select(F.col("w1").alias("value")).crossJoin(interval(w1(drawn[0].unionByName(drawn[1]), "x", "side", "b"), "w1", ci))
+
+
+def unpaired_jsd_bootstrap(left: DataFrame, right: DataFrame, rounds: int, ci: float = 0.95, seed: int = 0) -> DataFrame:
+    """(value, ci_low, ci_high) of the divergence of two samples' visits (i, cell, n); each side draws its own members i from 0.
+
+    A round adds up what its members visited, times the number of their draws, so a
+    round's rows are cells and not members. Null where a sample is empty.
+    """
+    spark = left.sparkSession
+    whole, drawn = [], []
+    for side, sample in enumerate((left, right)):
+        n = sample.agg(F.max("i") + 1).first()[0] or 0
+        times = resampled(n, rounds, seed, f"side{side}", spark).groupBy("b", "i").agg(F.count("*").alias("times"))
+        drawn.append(times.join(sample, "i").groupBy("b", "cell").agg(F.sum(F.col("times") * F.col("n")).alias(f"n{side}")))
+        whole.append(sample.groupBy("cell").agg(F.sum("n").alias(f"n{side}")))
+    value = js_divergence(whole[0].join(whole[1], "cell", "full").fillna(0, ["n0", "n1"]), "cell", "n0", "n1")
+    each = js_divergence(drawn[0].join(drawn[1], ["b", "cell"], "full").fillna(0, ["n0", "n1"]), "cell", "n0", "n1", "b")
+    return value.select(F.col("jsd").alias("value")).crossJoin(interval(each, "jsd", ci))  # a row each

@@ -17,7 +17,7 @@ from ..sources import adapters
 from ..session import shared_dir
 from ..sources.adapters import as_arrays, points, scores, table
 from ..sources.results import read_results, write_results
-from . import catalogue_sql, evidence
+from . import catalogue_sql, evidence, report
 
 GRID = geo.Grid(*adapters.BOX, 4, 4)
 RADIUS_M, DWELL_S, TZ = 12_000.0, 3_600.0, 8
@@ -681,6 +681,86 @@ def results_csv(spark, sf_dir):
     return back.select("metric_id", "seed", "split_seed", "family", "known_points", F.nanvl("value", F.lit(None).cast("double")).alias("value"), F.isnan("value").alias("undefined"))
 
 
+def _risk_rows(spark, sf_dir) -> DataFrame:
+    """Result rows with scope, arm, parameters and, for one level, cell divergences."""
+    raw, utility = F.col("target_ref") == "raw", F.col("family") == "utility"
+    rows = results(spark, sf_dir).where((F.col("family") != "utility") | (F.col("known_points") == 1995))
+    return rows.withColumns({
+        "scope": F.when(raw, "raw").otherwise("protected"), "arm_id": F.when(raw, "").otherwise("none"), "unit_m": F.lit(100.0),
+        "epsilon": F.when(F.col("known_points") % 2 == 0, (F.col("known_points") - 1990) / 2),
+        "metric": F.when(utility & (F.col("metric") == "auc"), "cell_js_divergence").otherwise(F.col("metric")),
+    })
+
+
+def _attack_rows(spark, sf_dir) -> DataFrame:
+    return _risk_rows(spark, sf_dir).where("family <> 'utility'")
+
+
+@query
+def tradeoff_points(spark, sf_dir):
+    return report.tradeoffs(_risk_rows(spark, sf_dir)).select("family", "metric", "share", "target_ref", r6(F.nanvl("x", F.lit(None).cast("double"))).alias("x"), r6("y").alias("y"))
+
+
+@query
+def epsilon_points(spark, sf_dir):
+    p = report.epsilon_points(_attack_rows(spark, sf_dir))
+    return p.select("family", "metric", "arm_id", "unit_m", "known_points", "epsilon", *[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")])
+
+
+@query
+def knowledge_points(spark, sf_dir):
+    p = report.knowledge_points(_attack_rows(spark, sf_dir))
+    return p.select("family", "metric", "target_ref", "known_points", *[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")])
+
+
+@query
+def mechanism_bars(spark, sf_dir):
+    p = report.mechanism_bars(_attack_rows(spark, sf_dir))
+    return p.select("family", "metric", "target_ref", *[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")], "share")
+
+
+@query
+def runtime_bars(spark, sf_dir):
+    return report.runtime_bars(results(spark, sf_dir))
+
+
+@query
+def metrics_long(spark, sf_dir):
+    """The tidy export, read again."""
+    rows = _risk_rows(spark, sf_dir).withColumns({"seed": F.lit(1), "n_bootstrap": F.lit(1000), "value": F.when(F.col("known_points") == 1993, float("inf")).otherwise(r6("value"))})
+    made = report.export(rows, f"{shared_dir(spark)}/tracefold/export-{uuid.uuid4().hex}", ["parquet"])
+    return spark.read.parquet(*made)
+
+
+def _seeded(spark, sf_dir) -> DataFrame:
+    """Runs of a utility metric by seed, made of line items."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("seed"), F.col("l_returnflag").alias("target_ref")).agg(F.avg("l_discount").alias("value"), F.count("*").cast("int").alias("n_probes"))
+    fixed = {"exp_id": "e", "config_hash": "h", "git_commit": "", "split_seed": 2, "created_at": "now", "family": "utility", "scope": "raw", "arm_id": "", "metric": "length_dist_error", "n_bootstrap": 1000, "n_pool": 5}
+    return g.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("result_id", F.concat_ws(":", "family", "target_ref")).withColumn("max_users", F.when(F.col("seed") % 2 == 0, F.col("seed") * 10))
+
+
+@query
+def run_labels(spark, sf_dir):
+    return report.run_labels(_seeded(spark, sf_dir).withColumn("exp_id", F.col("target_ref")))
+
+
+@query
+def report_load(spark, sf_dir):
+    """Results files of one run by seed: found, read and folded."""
+    folder = f"{shared_dir(spark)}/tracefold/runs-{uuid.uuid4().hex}"
+    for s in range(1, 8):  # a line number is 1 to 7
+        write_results(_seeded(spark, sf_dir).where(F.col("seed") == s), f"{folder}/e/seed{s}/results.csv")
+    r = report.load(spark, folder)
+    return r.select("exp_id", "family", "target_ref", "result_id", "metric", *[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")], "n_pool", "n_probes", "n_bootstrap", "max_users", "split_seed", "warning")
+
+
+@query
+def unpaired_jsd_bootstrap(spark, sf_dir):
+    """Visits of the routes of even and of odd users, with the two-sample interval."""
+    sides = [evidence.numbered_visits(evidence.visits(_routes(spark, sf_dir).where(F.col("traj_id").cast("long") % 2 == k), *network(spark, sf_dir), 4, 4).cache()) for k in (0, 1)]
+    return metrics.unpaired_jsd_bootstrap(*sides, ROUNDS).select(*[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")])
+
+
 @query
 def result_ids(spark, sf_dir):
     r = results(spark, sf_dir).select("result_id", "metric").distinct()

@@ -287,5 +287,27 @@ SELECT DISTINCT *, scope || ':' || arm_id AS target_ref FROM (SELECT CASE l_line
 CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_returnflag = 'N' THEN 'none' ELSE 'arm_' || l_returnflag END AS arm_id, CASE WHEN l_quantity > 25 THEN l_tax END AS epsilon, CASE WHEN l_quantity > 10 THEN l_discount END AS unit_m FROM lineitem))""",
     "params_order": """SELECT DISTINCT 'epsilon=' || CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax AS VARCHAR) ELSE 'x' END || ',unit_m=' || l_linenumber AS params, 'epsilon' AS name, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax AS DOUBLE) END AS first, CAST(l_linenumber AS DOUBLE) AS second FROM lineitem""",
     "results_csv": f"WITH {RESULTS} SELECT result_id || ':' || metric AS metric_id, 1 AS seed, 2 AS split_seed, family, known_points, CASE WHEN known_points <> 1992 THEN round(value, 4) END AS value, known_points = 1992 AS undefined FROM res",
+    "tradeoff_points": f"""WITH {RESULTS}, h AS (SELECT * FROM res WHERE family <> 'utility' AND metric = {HEAD} QUALIFY row_number() OVER (PARTITION BY family, target_ref ORDER BY known_points DESC) = 1),
+x AS (SELECT target_ref, value AS jsd FROM res WHERE family = 'utility' AND metric = 'auc' AND known_points = 1995)
+SELECT family, metric, true AS share, target_ref, CASE WHEN target_ref = 'raw' THEN 0e0 ELSE round(jsd, 6) END AS x, round(value, 6) AS y FROM h LEFT JOIN x USING (target_ref)""",
+    "epsilon_points": f"WITH {RESULTS} SELECT family, metric, CASE WHEN target_ref = 'raw' THEN '' ELSE 'none' END AS arm_id, 100e0 AS unit_m, known_points, (known_points - 1990) / 2e0 AS epsilon, round(value, 6) AS value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM res WHERE family <> 'utility' AND metric = {HEAD} AND known_points % 2 = 0",
+    "knowledge_points": f"WITH {RESULTS} SELECT family, metric, target_ref, known_points, round(value, 6) AS value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM res WHERE family <> 'utility' AND metric = {HEAD}",
+    "mechanism_bars": f"WITH {RESULTS} SELECT family, metric, target_ref, round(value, 6) AS value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, true AS share FROM res WHERE family <> 'utility' AND metric = {HEAD} QUALIFY row_number() OVER (PARTITION BY family, target_ref ORDER BY known_points DESC) = 1",
+    "runtime_bars": f"WITH {RESULTS} SELECT result_id, arg_min(attack_runtime_s, metric) AS attack_runtime_s FROM res GROUP BY result_id",
+    "metrics_long": f"""WITH {RESULTS} SELECT 'e' AS exp_id, 'h' AS config_hash, 1 AS seed, family, target_ref, known_points, CASE WHEN family = 'utility' AND metric = 'auc' THEN 'cell_js_divergence' ELSE metric END AS metric,
+CASE WHEN known_points <> 1993 THEN round(value, 6) END AS value, ci_low, ci_high, 1000 AS n_bootstrap FROM res WHERE family <> 'utility' OR known_points = 1995""",
+    "run_labels": """SELECT l_returnflag AS exp_id, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ', ' ORDER BY CAST(l_linenumber AS VARCHAR)) AS seeds, '2' AS split_seeds,
+coalesce(string_agg(DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber * 10 AS VARCHAR) END, ', ' ORDER BY CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber * 10 AS VARCHAR) END), 'all') AS users, '1000' AS bootstrap FROM lineitem GROUP BY l_returnflag""",
+    "report_load": f"""WITH g AS (SELECT l_linenumber AS seed, l_returnflag AS target_ref, avg(l_discount) AS value, count(*) AS n_probes FROM lineitem GROUP BY ALL),
+s AS (SELECT target_ref, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, CASE WHEN count(DISTINCT n_probes) = 1 THEN CAST(min(n_probes) AS INT) END AS n_probes FROM g GROUP BY target_ref)
+SELECT 'e' AS exp_id, 'utility' AS family, target_ref, 'utility:' || target_ref AS result_id, 'length_dist_error' AS metric, round(m, 6) AS value, round(m - {STUDENT}, 6) AS ci_low, round(m + {STUDENT}, 6) AS ci_high,
+5 AS n_pool, n_probes, 1000 AS n_bootstrap, CAST(NULL AS INT) AS max_users, 2 AS split_seed, CAST(NULL AS VARCHAR) AS warning FROM s""",
+    "unpaired_jsd_bootstrap": f"""WITH {NETWORK}, {ZONED}, {ROUTES}, v AS (SELECT traj_id, CAST(traj_id AS BIGINT) % 2 AS side, zone AS cell, count(*) AS visits FROM rt JOIN zoned USING (edge_id) GROUP BY ALL),
+ix AS (SELECT traj_id, side, row_number() OVER (PARTITION BY side ORDER BY {_part("traj_id")}, traj_id) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM (SELECT DISTINCT traj_id, side FROM v)),
+dr AS (SELECT rd, side, i, count(*) AS times FROM (SELECT rd, side, CASE WHEN side = 0 THEN {_drawn('side0', 'rd', 'k', 'n')} ELSE {_drawn('side1', 'rd', 'k', 'n')} END AS i FROM range(0, 1000) AS r(rd), (SELECT side, i AS k, n FROM ix)) GROUP BY ALL),
+c AS (SELECT rd, cell, CAST(coalesce(sum(times * visits) FILTER (side = 0), 0) AS DOUBLE) AS a, CAST(coalesce(sum(times * visits) FILTER (side = 1), 0) AS DOUBLE) AS b FROM (SELECT rd, side, times, traj_id FROM dr JOIN ix USING (side, i) UNION ALL SELECT -1, side, 1, traj_id FROM ix) JOIN v USING (traj_id, side) GROUP BY ALL),
+s AS (SELECT rd, a / sum(a) OVER (PARTITION BY rd) AS p, b / sum(b) OVER (PARTITION BY rd) AS q FROM c),
+d AS (SELECT rd, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS d FROM s GROUP BY rd)
+SELECT round((SELECT d FROM d WHERE rd = -1), 6) AS value, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high FROM d WHERE rd >= 0""",
     "result_ids": f"""WITH {RESULTS} SELECT DISTINCT result_id, metric, family, CASE WHEN target_ref = 'raw' THEN 'raw' ELSE 'protected' END AS scope, CASE WHEN target_ref = 'raw' THEN '' ELSE 'none' END AS mechanism, known_points AS k, metric <> 'none' AS share FROM res""",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rng
+from ..functions import order, rng
 from ..operators import attacks, metrics, sequences, zones
+from .plots import cell
 
 
 def seed_population(spark: SparkSession, edges: DataFrame, n: int, min_edges: int, seed: int, tries: int = 200) -> DataFrame:
@@ -32,22 +33,37 @@ def seed_population(spark: SparkSession, edges: DataFrame, n: int, min_edges: in
     raise ValueError(f"the network gave {len(routes)} of {n} routes with {min_edges} edges")
 
 
-def features(routes: DataFrame, nodes: DataFrame, edges: DataFrame, rows: int = 10, cols: int = 10) -> tuple[DataFrame, DataFrame]:
-    """((cell, n), (traj_id, length_m)): visits of edges' midpoints over a grid of the network, and routes' lengths."""
+def visits(routes: DataFrame, nodes: DataFrame, edges: DataFrame, rows: int = 10, cols: int = 10) -> DataFrame:
+    """(traj_id, cell, n, length_m): each route's visits of edges' midpoints over a grid of the network, and its metres there."""
     celled = zones.edge_zones(nodes, edges, rows, cols).select("edge_id", "length_m", F.col("zone").alias("cell"))
     spread = routes.select("traj_id", F.explode("edge_seq").alias("edge_id")).join(F.broadcast(celled), "edge_id")
-    return spread.groupBy("cell").agg(F.count("*").alias("n")), spread.groupBy("traj_id").agg(F.sum("length_m").alias("length_m"))
+    return spread.groupBy("traj_id", "cell").agg(F.count("*").alias("n"), F.sum("length_m").alias("length_m"))
+
+
+def features(routes: DataFrame, nodes: DataFrame, edges: DataFrame, rows: int = 10, cols: int = 10) -> tuple[DataFrame, DataFrame]:
+    """((cell, n), (traj_id, length_m)): visits over a grid of the network, and routes' lengths."""
+    spread = visits(routes, nodes, edges, rows, cols)
+    return spread.groupBy("cell").agg(F.sum("n").alias("n")), spread.groupBy("traj_id").agg(F.sum("length_m").alias("length_m"))
+
+
+def numbered_visits(spread: DataFrame) -> DataFrame:
+    """(i, cell, n): the visits of routes with the routes numbered from 0."""
+    return spread.join(order.numbered(spread.select("traj_id").distinct(), "traj_id"), "traj_id").select("i", "cell", "n")
 
 
-def _utility(real: DataFrame, made: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, float]:
-    (cells_a, lengths_a), (cells_b, lengths_b) = features(real, nodes, edges), features(made, nodes, edges)
-    both = cells_a.withColumnRenamed("n", "a").join(cells_b.withColumnRenamed("n", "b"), "cell", "full").fillna(0, ["a", "b"])
-    sides = lengths_a.select(F.col("length_m").alias("x"), F.lit(0).alias("side")).unionByName(lengths_b.select(F.col("length_m").alias("x"), F.lit(1).alias("side")))
-    return {"jsd": metrics.js_divergence(both, "cell", "a", "b").first()["jsd"], "length_w1_m": metrics.w1(sides).first()["w1"]}
+def _utility(real: DataFrame, made: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int, seed: int) -> list[float]:
+    """Divergence and length distance of the routes, each with its two-sample interval."""
+    spread = [visits(r, nodes, edges).cache() for r in (real, made)]
+    cells = [numbered_visits(v) for v in spread]
+    lengths = [metrics.indexed(v.groupBy("traj_id").agg(F.sum("length_m").alias("length_m")), "traj_id", F.col("length_m")) for v in spread]
+    found = [*metrics.unpaired_jsd_bootstrap(*cells, rounds, seed=seed).first(), *metrics.two_sample_w1_bootstrap(*lengths, rounds, seed=seed).first()]
+    for v in spread:
+        v.unpersist()
+    return found
 
 
-def evidence(spark: SparkSession, nodes: DataFrame, edges: DataFrame, epsilons: Sequence[float], shadows: int = 16, population: int = 20, min_edges: int = 4, grid: int = 12, seed: int = 0) -> DataFrame:
-    """(arm, epsilon, auc, jsd, length_w1_m): the private generator at each epsilon, and the Markov model as a ceiling.
+def evidence(spark: SparkSession, nodes: DataFrame, edges: DataFrame, epsilons: Sequence[float], shadows: int = 16, population: int = 20, min_edges: int = 4, grid: int = 12, seed: int = 0, rounds: int = 1000) -> DataFrame:
+    """(arm, epsilon, auc, jsd, length_w1_m), the last two with their intervals (jsd_low, jsd_high, ...): the private generator at each epsilon, and the Markov model as a ceiling.
 
     The first half of the population are members; every shadow trains on half of all.
     """
@@ -74,13 +90,13 @@ def evidence(spark: SparkSession, nodes: DataFrame, edges: DataFrame, epsilons:
             asked = scored if asked is None else asked.unionByName(scored)
         score = attacks.likelihood_ratios(asked, members, zones.log_prob(seqs, target, arcs))
         made = zones.generate(target, arcs, zoned, hops, population, seed).withColumn("traj_id", F.col("syn_id").cast("string"))
-        out.append(("rn_ldp_synth", float(epsilon), auc(score), *_utility(member, made, nodes, edges).values()))
+        out.append(("rn_ldp_synth", float(epsilon), auc(score), *_utility(member, made, nodes, edges, rounds, seed)))
     named = pool.select("traj_id", F.transform("edge_seq", lambda e: e.cast("string")).alias("seq"))
     counts = sequences.markov_counts(named.join(member, "traj_id", "left_semi"))
     score = attacks.membership_scores(named, members, sequences.markov_log_prob(named, counts))
     made = sequences.markov_generate(counts, population, seed).select(F.col("syn_id").cast("string").alias("traj_id"), F.transform("seq", lambda e: e.cast("bigint")).alias("edge_seq"))
-    out.append(("markov", None, auc(score), *_utility(member, made, nodes, edges).values()))
-    return spark.createDataFrame(out, "arm string, epsilon double, auc double, jsd double, length_w1_m double")
+    out.append(("markov", None, auc(score), *_utility(member, made, nodes, edges, rounds, seed)))
+    return spark.createDataFrame(out, "arm string, epsilon double, auc double, jsd double, jsd_low double, jsd_high double, length_w1_m double, length_low double, length_high double")
 
 
 def order_arcs(arcs: DataFrame) -> DataFrame:
@@ -92,5 +108,5 @@ def evidence_table(rows: DataFrame) -> str:
     """The evidence as a Markdown table."""
     lines = ["| arm | epsilon | AUC | JSD (bits) | length W1 (m) |", "| --- | --- | --- | --- | --- |"]
     for r in rows.orderBy(F.col("epsilon").asc_nulls_last()).collect():
-        lines.append(f"| {r['arm']} | {'–' if r['epsilon'] is None else format(r['epsilon'], 'g')} | {r['auc']:.3f} | {r['jsd']:.3f} | {r['length_w1_m']:.0f} |")
+        lines.append(f"| {r['arm']} | {'–' if r['epsilon'] is None else format(r['epsilon'], 'g')} | {r['auc']:.3f} | {cell(r['jsd'], r['jsd_low'], r['jsd_high'])} | {r['length_w1_m']:.0f} [{r['length_low']:.0f}, {r['length_high']:.0f}] |")
     return "\n".join(lines)

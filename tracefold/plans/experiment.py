@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, order
 from ..operators import attacks, cleaning, metrics, protect, reporting, sequences, splits, stays, zones
 from ..sources import adapters, results, trajectories
-from . import registry
+from . import registry, report
 from .config import GENERATORS, MECHANISMS, Arm, ConsistencyError, RunConfig, pipeline_hash, release_hash
 
 COLUMNS = dict(results.COLUMNS)
@@ -270,7 +270,7 @@ def git_commit() -> str:
 
 
 def run(spark: SparkSession, cfg: RunConfig) -> DataFrame:
-    """Run a configuration; writes results.csv, metrics.csv, matrix.csv and run.json to its folder, and returns the rows."""
+    """Run a configuration; writes results.csv, metrics.csv, matrix.csv, run.json and the plots asked for to its folder, and returns the rows."""
     began = time.perf_counter()
     e = Experiment(spark, cfg)
     provenance = {"exp_id": cfg.exp_id, "config_hash": e.hash, "git_commit": git_commit(), "seed": cfg.seed, "split_seed": cfg.split_seed, "max_users": cfg.max_users, "created_at": datetime.datetime.now(datetime.UTC).isoformat()}
@@ -285,6 +285,7 @@ def run(spark: SparkSession, cfg: RunConfig) -> DataFrame:
     one = lambda df, name: df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
     one(finite.select("result_id", "metric", "value", "ci_low", "ci_high", "n_bootstrap"), "metrics.csv")
     one(reporting.risk_matrix(finite), "matrix.csv")
+    report.write_plots(rows, cfg.plots, out)
     matched, clean = e.matched(), e.clean()
     record = provenance | {
         "n_matched": matched.count(), "n_dropped": clean.count() - matched.count(),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import reporting
 from ..sources import results
+from . import plots
+from .config import PLOTS
+from .plots import cell
 
 LONG = ("exp_id", "config_hash", "seed", "family", "target_ref", "known_points", "metric", "value", "ci_low", "ci_high", "n_bootstrap")
 
@@ -61,11 +63,17 @@ def export(rows: DataFrame, out: str, formats: Sequence[str] = ("csv", "parquet"
     return made
 
 
+def tradeoffs(rows: DataFrame) -> DataFrame:
+    """(family, metric, share, target_ref, x, y): the trade-off points of every attack family."""
+    heads = reporting.headline_rows(rows.where("family <> 'utility'")).select("family", "metric", "target_ref", "scope", F.col("value").alias("y"))
+    x = rows.where("family = 'utility' AND metric = 'cell_js_divergence'").groupBy("target_ref").agg(F.min_by("value", "exp_id").alias("jsd"))
+    x_ = F.when(F.col("scope") == "raw", 0.0).otherwise(F.coalesce("jsd", F.lit(float("nan"))))
+    return heads.join(x, "target_ref", "left").select("family", "metric", reporting.is_share(F.col("metric")).alias("share"), "target_ref", x_.alias("x"), "y")
+
+
 def tradeoff_points(rows: DataFrame, family: str) -> DataFrame:
     """(target_ref, x, y): the arm's cell divergence (0 for raw) against the family's headline."""
-    y = reporting.headline_rows(rows.where(F.col("family") == family)).select("target_ref", "scope", F.col("value").alias("y"))
-    x = rows.where("family = 'utility' AND metric = 'cell_js_divergence'").groupBy("target_ref").agg(F.first("value").alias("jsd"))
-    return y.join(x, "target_ref", "left").select("target_ref", F.when(F.col("scope") == "raw", 0.0).otherwise(F.coalesce("jsd", F.lit(float("nan")))).alias("x"), "y")
+    return tradeoffs(rows).where(F.col("family") == family).select("target_ref", "x", "y")
 
 
 def epsilon_points(rows: DataFrame) -> DataFrame:
@@ -88,21 +96,52 @@ def runtime_bars(rows: DataFrame) -> DataFrame:
     return rows.groupBy("result_id").agg(F.min_by("attack_runtime_s", "metric").alias("attack_runtime_s"))
 
 
-def number(x: float | None) -> str:
-    return "–" if x is None or not math.isfinite(x) else f"{x:.3f}"
-
-
-def cell(value: float | None, low: float | None = None, high: float | None = None, k: int | None = None) -> str:
-    """A value with its interval and level, as far as there are any."""
-    out = number(value)
-    if low is not None and high is not None and math.isfinite(low) and math.isfinite(high):
-        out += f" [{number(low)}, {number(high)}]"
-    return out + (f" @k={k}" if k is not None else "")
-
-
-def markdown(rows: DataFrame) -> str:
-    """The report page: risk matrices, headlines by attack, trade-offs, warnings."""
+def _by(rows: Sequence, *keys: str) -> dict[tuple, list]:
+    groups: dict[tuple, list] = {}
+    for r in rows:
+        groups.setdefault(tuple(r[k] for k in keys), []).append(r)
+    return dict(sorted(groups.items(), key=lambda kv: [str(x) for x in kv[0]]))
+
+
+def draw(rows: DataFrame, wanted: Sequence[str]) -> dict[str, str]:
+    """File names and SVG texts of the plots asked for, one for each attack family; a plot without any defined point is left out."""
+    made: dict[str, str] = {}
+    attacks = rows.where("family <> 'utility'")
+    if "tradeoff" in wanted:
+        for (family, metric, share), points in _by(tradeoffs(rows).collect(), "family", "metric", "share").items():
+            made[f"tradeoff_{family}"] = plots.lines(f"{family}: risk against utility", {metric: [(p["x"], p["y"], None, None, p["target_ref"]) for p in points]}, "cell divergence (bits)", metric, share=share, joined=False)
+    if "by_epsilon" in wanted:
+        for (family, metric), points in _by(epsilon_points(attacks).collect(), "family", "metric").items():
+            series = {", ".join([p[0] or "raw", *([f"unit {p[1]:g} m"] if p[1] is not None else []), *([f"k={p[2]}"] if p[2] is not None else [])]): [(r["epsilon"], r["value"], r["ci_low"], r["ci_high"], f"{p[0] or 'raw'}, epsilon {r['epsilon']:g}") for r in g] for p, g in _by(points, "arm_id", "unit_m", "known_points").items()}
+            made[f"by_epsilon_{family}"] = plots.lines(f"{family}: {metric} by epsilon", series, "epsilon (logarithmic)", metric, log=True)
+    if "by_knowledge" in wanted:
+        for (family, metric), points in _by(knowledge_points(attacks).collect(), "family", "metric").items():
+            series = {t: [(r["known_points"], r["value"], r["ci_low"], r["ci_high"], f"{t}, k={r['known_points']}") for r in g] for (t,), g in _by(points, "target_ref").items()}
+            made[f"by_knowledge_{family}"] = plots.lines(f"{family}: {metric} by known points", series, "known points", metric)
+    if "mechanisms" in wanted:
+        for (family, metric, share), points in _by(mechanism_bars(attacks).collect(), "family", "metric", "share").items():
+            made[f"mechanisms_{family}"] = plots.bars(f"{family}: {metric}", [(p["target_ref"], p["value"], p["ci_low"], p["ci_high"]) for p in points], metric, share)
+    if "runtime" in wanted:
+        items = sorted((r["result_id"], r["attack_runtime_s"], None, None) for r in runtime_bars(attacks).collect())
+        made["runtime"] = plots.bars("attack runtime", items, "seconds") if items else ""
+    return {f"{name}.svg": svg for name, svg in made.items() if svg}
+
+
+def run_labels(runs: DataFrame) -> DataFrame:
+    """(exp_id, seeds, split_seeds, users, bootstrap): how each experiment's results rows were made, as text; "–" where nothing is known."""
+    def listed(c: str, missing: str = "–"):
+        said = F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda v: v.cast("string")), ", ")
+        return F.when(said == "", missing).otherwise(said)
+
+    return runs.groupBy("exp_id").agg(listed("seed").alias("seeds"), listed("split_seed").alias("split_seeds"), listed("max_users", "all").alias("users"), listed("n_bootstrap").alias("bootstrap"))
+
+
+def markdown(rows: DataFrame, runs: DataFrame | None = None, images: Sequence[str] = ()) -> str:
+    """The report page: experiments (of the results rows `runs`), risk matrices, headlines by attack, trade-offs, plots, warnings."""
     lines = ["# Risk report", ""]
+    if runs is not None:
+        lines += ["| experiment | seeds | split seeds | users | bootstrap rounds |", "| --- | --- | --- | --- | --- |"]
+        lines += [f"| {' | '.join(r)} |" for r in run_labels(runs).orderBy("exp_id").collect()] + [""]
     for r in rows.groupBy("config_hash").agg(F.collect_set("exp_id").alias("e")).orderBy("config_hash").collect():
         lines += [f"## Pipeline {r['config_hash']}", "", f"Experiments: {', '.join(sorted(r['e']))}", ""]
         cells = reporting.risk_cells(rows.where(F.col("config_hash") == r["config_hash"])).collect()
@@ -115,17 +154,33 @@ def markdown(rows: DataFrame) -> str:
         lines.append("")
     lines += ["## Headlines", "", "| family | target | metric | value |", "| --- | --- | --- | --- |"]
     lines += [f"| {r['family']} | {r['target_ref']} | {r['metric']} | {cell(r['value'], r['ci_low'], r['ci_high'])} |" for r in mechanism_bars(rows).collect()]
+    if points := tradeoffs(rows).orderBy("family", "x", "target_ref").collect():
+        lines += ["", "## Risk against utility", "", "| family | target | cell divergence (bits) | metric | value |", "| --- | --- | --- | --- | --- |"]
+        lines += [f"| {p['family']} | {p['target_ref']} | {cell(p['x'])} | {p['metric']} | {cell(p['y'])} |" for p in points]
+    if images:
+        lines += ["", "## Plots", "", *[f"![{name.removesuffix('.svg')}](plots/{name})" for name in images]]
     if warnings := [r[0] for r in rows.where("warning IS NOT NULL").select("warning").distinct().orderBy("warning").collect()]:
         lines += ["", "## Warnings", "", *[f"- {w}" for w in warnings]]
     return "\n".join(lines) + "\n"
 
 
+def write_plots(rows: DataFrame, wanted: Sequence[str], out: str) -> list[str]:
+    """The plots as files of out/plots; returns their names."""
+    made = draw(rows, wanted)
+    for name, svg in made.items():
+        results.write_text(rows.sparkSession, f"{out}/plots/{name}", svg)
+    return sorted(made)
+
+
 def generate(spark: SparkSession, folder: str, out: str) -> str:
-    """Merged table, tidy export, risk matrix and page; returns the page's path."""
+    """Merged table, tidy export, risk matrix, plots and page; returns the page's path."""
     results.refuse_raw(out)
     rows = load(spark, folder).cache()
-    merge(spark, folder, out)
-    export(rows, out)
-    reporting.risk_matrix(rows).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/risk_matrix.csv")
-    spark.createDataFrame([(markdown(rows),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report.md")
+    try:
+        merged = merge(spark, folder, out)
+        export(rows, out)
+        reporting.risk_matrix(rows).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/risk_matrix.csv")
+        results.write_text(spark, f"{out}/report.md", markdown(rows, merged, write_plots(rows, PLOTS, out)))
+    finally:
+        rows.unpersist()
     return f"{out}/report.md"

@@ -43,6 +43,19 @@ def write_results(df: DataFrame, path: str, provenance: dict | None = None) -> N
     out.coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of the text, on any file system that Spark knows; what was there is replaced."""
+    refuse_raw(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Results files as one table: headers must be exactly the columns; a blank value is NaN, other blanks are null."""
     for path in paths:
