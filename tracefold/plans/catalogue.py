@@ -757,7 +757,7 @@ def report_load(spark, sf_dir):
 @query
 def unpaired_jsd_bootstrap(spark, sf_dir):
     """Visits of the routes of even and of odd users, with the two-sample interval."""
-    sides = [evidence.numbered_visits(evidence.visits(_routes(spark, sf_dir).where(F.col("traj_id").cast("long") % 2 == k), *network(spark, sf_dir), 4, 4).cache()) for k in (0, 1)]
+    sides = [evidence.numbered_visits(evidence.visits(_routes(spark, sf_dir).where(F.col("traj_id").cast("long") % 2 == k), *network(spark, sf_dir), 4, 4).cache()).cache() for k in (0, 1)]
     return metrics.unpaired_jsd_bootstrap(*sides, ROUNDS).select(*[r6(c).alias(c) for c in ("value", "ci_low", "ci_high")])
 
 
