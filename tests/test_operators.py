@@ -146,6 +146,41 @@ def test_reidentification(spark):
     assert [h.hit for h in attacks.top_k(nobody, probes, 1).collect()] == [0.0] * 4
 
 
+@pytest.fixture
+def crowd(spark, monkeypatch):
+    """Users of one to nine trajectories, some with equal paths, in many small blocks; users of more than two are cut."""
+    monkeypatch.setattr(attacks, "USER_TRAJECTORIES", 2)
+    monkeypatch.setattr(attacks, "BLOCK_POINTS", 40)
+    monkeypatch.setattr(attacks, "KEPT", 100)
+    r = np.random.default_rng(5)
+    known = [(f"{u}/{i}", f"u{u}", [tuple(map(float, p)) for p in r.integers(0, 6, (r.integers(1, 12), 2))]) for u, n in enumerate((1, 2, 3, 9, 2, 4, 2)) for i in range(n)]
+    known += [("7/0", "u7", known[3][2]), ("7/1", "u7", known[8][2])]
+    return paths(spark, known), known
+
+
+def plain_ranking(known, k):
+    users = [u for _, u, _ in known]
+    for t, u, p in known:
+        if users.count(u) > 1:
+            at = sorted({round(x) for x in np.linspace(0, len(p) - 1, min(k, len(p))).round()})
+            best = {}
+            for g, v, q in known:
+                if g != t:
+                    best[v] = min(best.get(v, math.inf), plain_dtw([p[i] for i in at], q))
+            yield from ((t, u, v, d, i) for i, (d, v) in enumerate(sorted((d, v) for v, d in best.items()), 1))
+
+
+def test_ranking_leaves_tasks_ranked(crowd):
+    """The whole ranking, and no pair of probe and user is shuffled after the tasks that compare them."""
+    pool, known = crowd
+    ranking = attacks.dtw_ranking(pool, pool, 4)
+    got = sorted(tuple(r) for r in ranking.collect())
+    want = sorted(plain_ranking(known, 4))
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+    plan = ranking._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapIn")]
+
+
 def test_whittaker():
     r = np.random.default_rng(2)
     for n in (3, 4, 5, 40):
