@@ -1,5 +1,6 @@
 """Trajectory operators on values that can be worked out by hand."""
 
+import datetime
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import geo, rng
 from tracefold.operators import attacks, cleaning, matching, metrics, protect, reporting, sequences, splits, stays, zones
+from tracefold.plans import catalogue
 
 POINTS = "array<struct<lat:double,lon:double,t:double>>"
 PATH = "array<struct<x:double,y:double>>"
@@ -181,6 +183,30 @@ def test_ranking_leaves_tasks_ranked(crowd):
     assert "Exchange" not in plan[: plan.index("MapIn")]
 
 
+def test_hits_without_ranking(crowd):
+    """Hits by counting the users before the true one are those of the ranking: equal distances, users in several blocks, unasked users."""
+    pool, known = crowd
+    want = list(plain_ranking(known, 4))
+    for k in (1, 2, 4):
+        got = {r.probe_id: r.hit for r in attacks.top_k_hits(pool, pool, k, 4).collect()}
+        assert got == {t: float(any(r[0] == t and r[2] == r[1] and r[4] <= k for r in want)) for t, *_ in want}
+    assert 0 < sum(got.values()) < len(got)
+    assert {r.hit for r in attacks.top_k_hits(pool.limit(0), pool, 1, 4).collect()} == {0.0}
+
+
+def _run_without_ranking(monkeypatch, query, tmp_path, spark):
+    """Rows of a catalogue query over some events, the whole ranking being out of reach."""
+    r = np.random.default_rng(6)
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=int(r.integers(700))), int(r.integers(5)), "a", float(r.uniform(0, 200)), f'{{"k": {r.integers(100)}}}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    monkeypatch.setattr(attacks, "dtw_ranking", None)
+    return catalogue.QUERIES[query](spark, f"file://{tmp_path}").collect()
+
+
+def test_linkage_rate_makes_no_ranking(spark, monkeypatch, tmp_path):
+    assert 0 <= _run_without_ranking(monkeypatch, "linkage_rate", tmp_path, spark)[0].linkage_rate <= 1
+
+
 def test_whittaker():
     r = np.random.default_rng(2)
     for n in (3, 4, 5, 40):
