@@ -207,6 +207,11 @@ def test_linkage_rate_makes_no_ranking(spark, monkeypatch, tmp_path):
     assert 0 <= _run_without_ranking(monkeypatch, "linkage_rate", tmp_path, spark)[0].linkage_rate <= 1
 
 
+def test_topk_accuracy_makes_no_ranking(spark, monkeypatch, tmp_path):
+    found = _run_without_ranking(monkeypatch, "topk_accuracy", tmp_path, spark)[0]
+    assert found.top5_acc == 1 and found.n_probes > 0  # five users: each is among the first five
+
+
 def test_whittaker():
     r = np.random.default_rng(2)
     for n in (3, 4, 5, 40):
