@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from tracefold.llm import quality
+from tracefold.llm import quality, simhash
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +65,23 @@ def test_near_rows_of_one_id(make):
     assert len(left) == 4 and all(r in left for r in (rows[0], rows[2], rows[4])) and left.count(rows[5]) + left.count(rows[6]) == 1
 
 
+def test_near_stage_is_simhash_and_more(make):
+    """A pair within two bits of SimHash whose shingle sets are far apart goes by SimHash alone, a pair of many bits by the exact search."""
+    rng = random.Random(12)
+    same = [f"s{k}" for k in range(3)]
+    often = same * 400  # its shingles repeat: a set of few shingles, a fingerprint of many
+    far = [*often, *(f"x{rng.randrange(10**6)}" for _ in range(12))]
+    near = [f"n{rng.randrange(10**6)}" for _ in range(200)]
+    edited = [w if k not in (40, 90, 140) else "edited" for k, w in enumerate(near)]
+    other = [f"o{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(w), "en", "a") for i, w in enumerate((often, far, near, edited, other), 1)] + [(6, "", "en", "a"), (7, None, "en", "a"), (8, " \n", "en", "a")]
+    fps = [simhash.fingerprint([w.encode() for w in words], 3) for words in (often, far, near, edited)]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 < ((fps[2] ^ fps[3]) & (2**64 - 1)).bit_count()
+    docs = make(rows)
+    assert {r.doc_id for r in simhash.similar_documents(docs).where("NOT kept").collect()} == {4}
+    assert sorted(r.doc_id for r in P.near_stage(None, docs, "").collect()) == [1, 3, 5, 6, 7, 8]
+
+
 @pytest.mark.parametrize("ids", ["long", "string"])
 def test_stages_keep_clashing_columns(make, ids):
     """Every stage on rows with columns of the names used inside, nulls, repeated ids and rows, and ids of either type."""

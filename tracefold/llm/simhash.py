@@ -13,6 +13,7 @@ from the start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, flat, gram_hashes, map_text, temporary, word_hashes, words_of, written
+from .common import WORD, dealt_anew, flat, gram_hashes, map_text, temporary, word_hashes, words_of, written
 from .components import components
 
 SEED = 42
@@ -197,6 +198,32 @@ def similar_pairs(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity:
         return keep(written(close, "links"))
 
 
+def simhash_stars(keyed: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text") -> DataFrame:
+    """(u, v): each document that SimHash joins to others, with the least of them. keyed: (node, text).
+
+    The method of near_duplicates: fingerprints, blocks, fingerprints within `distance`
+    bits. Documents without word are joined to nothing.
+    """
+    with temporary() as keep:
+        worded = keyed.where(F.col(text).rlike(WORD))
+        prints = written(fingerprints(worded, shingle, text, "node").withColumnRenamed("doc_id", "node").distinct(), "fingerprints")
+        roots = components(links(prints.select("fp").distinct(), distance)).withColumnsRenamed({"node": "fp"})
+        labelled = written(prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "roots")
+        least = labelled.groupBy("root").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return keep(written(labelled.join(dealt_anew(least), "root").where("node <> v").select(F.col("node").alias("u"), "v"), "stars"))
+
+
+def linked_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, node, component_id, kept), as similar_documents, of documents linked by SimHash or by the similarity of their shingles.
+
+    SimHash (fingerprints of three-word shingles within two bits) joins first, all pairs of
+    it. Two bits are far less than texts at the least similarity differ by, so an exact
+    search for the rest follows; what SimHash has joined is not compared again there but
+    with each shingle's two.
+    """
+    return _grouped(df, lambda keyed: simhash_stars(keyed, text=text), shingle, similarity, text, doc_id)
+
+
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, node, component_id, kept) of the rows linked to others; component_id is the smallest id reachable, kept marks its row.
 
@@ -210,10 +237,17 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
     one is kept, and an id of null counts as the largest. Repeated rows (same id and text)
     are one node; rows without word are not linked. Texts may be of any length.
     """
+    return _grouped(df, None, shingle, similarity, text, doc_id)
+
+
+def _grouped(df: DataFrame, before: Callable[[DataFrame], DataFrame] | None, shingle: int, similarity: float, text: str, doc_id: str) -> DataFrame:
+    """similar_documents, with the links (u, v) that another method finds before."""
     keyed = df.select(row_node(doc_id, text).alias("node"), text)
     with temporary() as keep:
+        known = before and before(keyed)
         met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
         close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
+        close = close if known is None else close.union(known)
         others = similar_pairs(keyed, open_pairs(met, components(close), similarity), shingle, similarity, text)
         roots = components(close.union(others))
         ids = df.select(F.col(doc_id).alias("doc_id"), row_node(doc_id, text).alias("node")).join(roots, "node").distinct()
