@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracefold.llm import exact_dedup, simhash, suffix_dedup, superkmer, windows
+from tracefold.llm import common, exact_dedup, simhash, suffix_dedup, superkmer, windows
+from tracefold.llm import components as components_module
 from tracefold.llm.common import flat
 from tracefold.llm.components import components
 
@@ -218,6 +219,26 @@ def test_links_lose_none(spark):
     assert all(got.get(n, n) == r for n, r in want.items())
 
 
+@pytest.mark.parametrize("held", [7, 60, 1 << 20])
+def test_components_held(spark, held):
+    """Chains, a hub, and random edges give the same roots whether a task holds few of the edges or all of them."""
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 180)] + [(500, k) for k in range(501, 560)] + [(-(2**62), 2**62), (3, 3), (2**62, 9)]
+    edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), held).collect()}
+    met = [(u, v) for u, v in edges if u != v]
+    assert got == roots({x for e in met for x in e}, met)
+
+
+def test_components_take_no_rounds(spark, monkeypatch):
+    """Edges that one task can hold are written once and joined once, however long their paths."""
+    made = []
+    monkeypatch.setattr(components_module, "written", lambda df, name: made.append(name) or common.written(df, name))
+    got = {r.node: r.root for r in components(spark.createDataFrame([(k, k + 1) for k in range(300)], "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(301), 0) and len(made) == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (7, 7), (200, 201), (160, 90)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

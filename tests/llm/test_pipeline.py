@@ -82,6 +82,27 @@ def test_near_stage_is_simhash_and_more(make):
     assert sorted(r.doc_id for r in P.near_stage(None, docs, "").collect()) == [1, 3, 5, 6, 7, 8]
 
 
+def test_near_stage_tasks(spark, make):
+    """Few tasks, each of which leaves files and log entries on disk: chains of near copies, by SimHash and by shingles, take no rounds."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(6):
+        words = [f"c{i}x{rng.randrange(10**6)}" for _ in range(300)]
+        for k in range(12):  # each of a chain is near to the next ones only
+            rows.append((100 * i + k, " ".join(words), "en", "a"))
+            for at in rng.sample(range(300), 6):
+                words[at] = f"e{rng.randrange(10**6)}"
+    docs = make(rows)
+    spark.sparkContext.setJobGroup("near stage", "")
+    left = P.near_stage(spark, docs, "").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("near stage") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+    assert sorted(r.doc_id for r in left) == [0, 100, 200, 300, 400, 500]
+    assert 0 < tasks < 200
+
+
 @pytest.mark.parametrize("ids", ["long", "string"])
 def test_stages_keep_clashing_columns(make, ids):
     """Every stage on rows with columns of the names used inside, nulls, repeated ids and rows, and ids of either type."""

@@ -198,19 +198,22 @@ def similar_pairs(keyed: DataFrame, pairs: DataFrame, shingle: int, similarity:
         return keep(written(close, "links"))
 
 
-def simhash_stars(keyed: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text") -> DataFrame:
-    """(u, v): each document that SimHash joins to others, with the least of them. keyed: (node, text).
+def simhash_links(keyed: DataFrame, shingle: int = 3, distance: int = 2, text: str = "text") -> DataFrame:
+    """(u, v): links whose components are those of all documents within `distance` bits. keyed: (node, text).
 
     The method of near_duplicates: fingerprints, blocks, fingerprints within `distance`
-    bits. Documents without word are joined to nothing.
+    bits. Documents of one fingerprint are linked to the least of them, the least ones of
+    linked fingerprints to each other; their components are left to the caller, who joins
+    them with other links. Documents without word are linked to nothing.
     """
     with temporary() as keep:
         worded = keyed.where(F.col(text).rlike(WORD))
         prints = written(fingerprints(worded, shingle, text, "node").withColumnRenamed("doc_id", "node").distinct(), "fingerprints")
-        roots = components(links(prints.select("fp").distinct(), distance)).withColumnsRenamed({"node": "fp"})
-        labelled = written(prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "roots")
-        least = labelled.groupBy("root").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return keep(written(labelled.join(dealt_anew(least), "root").where("node <> v").select(F.col("node").alias("u"), "v"), "stars"))
+        least = written(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
+        copies = prints.join(dealt_anew(least.where("n > 1")), "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+        of_u, of_v = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("u", "v"))
+        across = links(least.select("fp"), distance).join(of_u, "u").join(of_v, "v").select(F.col("least_u").alias("u"), F.col("least_v").alias("v"))
+        return keep(written(copies.union(across), "links"))
 
 
 def linked_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -221,7 +224,7 @@ def linked_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, t
     search for the rest follows; what SimHash has joined is not compared again there but
     with each shingle's two.
     """
-    return _grouped(df, lambda keyed: simhash_stars(keyed, text=text), shingle, similarity, text, doc_id)
+    return _grouped(df, lambda keyed: simhash_links(keyed, text=text), shingle, similarity, text, doc_id)
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
