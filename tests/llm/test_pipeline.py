@@ -1,11 +1,13 @@
 """The pipeline's stages, one after the other, against plain counterparts of their decisions."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tracefold.llm import quality, simhash
+from tracefold.llm import common, quality, simhash
 
 
 @pytest.fixture(scope="module")
@@ -103,6 +105,25 @@ def test_near_stage_tasks(spark, make):
     assert 0 < tasks < 200
 
 
+def test_near_stage_removes_shuffles(spark, make, monkeypatch):
+    """Every table of the exact search is written with its shuffle files removed; none of such a table's stays."""
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    monkeypatch.setattr(simhash, "written", lambda df, name: seen.append(spark.conf.get(key, None)) or common.written(df, name))
+    rows = [(k, " ".join(f"v{k}x{j}" for j in range(80)), "en", "a") for k in range(9)]
+    assert P.near_stage(spark, make(rows), "").count() == 9
+    assert len(seen) > 8 and set(seen) == {"true"} and spark.conf.get(key, None) != "true"
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.apply(i).getName() for f in [manager.getAllFiles()] for i in range(f.size()) if f.apply(i).getName().startswith("shuffle_")}
+    before = held()
+    with common.shuffles_removed(spark):
+        common.written(spark.range(10**4).groupBy((F.col("id") % 99).alias("k")).count(), "counts")
+    for _ in range(50):  # they are removed in the background
+        if not (more := held() - before):
+            break
+        time.sleep(0.1)
+    assert not more
+
+
 @pytest.mark.parametrize("ids", ["long", "string"])
 def test_stages_keep_clashing_columns(make, ids):
     """Every stage on rows with columns of the names used inside, nulls, repeated ids and rows, and ids of either type."""

@@ -63,6 +63,25 @@ def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _open[-1].append(table)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go with the end of its execution.
+
+    Else they stay until the driver happens to collect its garbage, beside those of all
+    that follows, although a written table reads them no more.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def dealt_anew(df: DataFrame) -> DataFrame:
     """The rows of an aggregate, shuffled once more before a sort-merge join on its key.
 

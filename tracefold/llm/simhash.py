@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dealt_anew, flat, gram_hashes, map_text, temporary, word_hashes, words_of, written
+from .common import WORD, dealt_anew, flat, gram_hashes, map_text, shuffles_removed, temporary, word_hashes, words_of, written
 from .components import components
 
 SEED = 42
@@ -246,7 +246,7 @@ def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def _grouped(df: DataFrame, before: Callable[[DataFrame], DataFrame] | None, shingle: int, similarity: float, text: str, doc_id: str) -> DataFrame:
     """similar_documents, with the links (u, v) that another method finds before."""
     keyed = df.select(row_node(doc_id, text).alias("node"), text)
-    with temporary() as keep:
+    with temporary() as keep, shuffles_removed(df.sparkSession):
         known = before and before(keyed)
         met = written(prefixes(shingle_sets(keyed, shingle, text), similarity), "prefixes")
         close = similar_pairs(keyed, star_pairs(met, similarity), shingle, similarity, text)
