@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import geo, rng
 from tracefold.operators import attacks, cleaning, matching, metrics, protect, reporting, sequences, splits, stays, zones
 from tracefold.plans import catalogue
+from tracefold.session import shared_dir
 
 POINTS = "array<struct<lat:double,lon:double,t:double>>"
 PATH = "array<struct<x:double,y:double>>"
@@ -183,6 +185,26 @@ def test_ranking_leaves_tasks_ranked(crowd):
     assert "Exchange" not in plan[: plan.index("MapIn")]
 
 
+def test_ranking_computes_its_source_once(crowd, spark):
+    """Neither counting nor ranking computes the source anew, and no table stays but those that the ranking reads."""
+    pool, known = crowd
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    folder = Path(shared_dir(spark).removeprefix("file://"), "tracefold")
+    before = {p.name for p in folder.glob("*")}
+    source = pool.mapInArrow(counted, pool.schema)
+    ranking = attacks.dtw_ranking(source, source, 4)
+    assert len(ranking.collect()) == len(list(plain_ranking(known, 4)))
+    assert seen.value == len(known)
+    made = {p.name for p in folder.glob("*")} - before
+    assert sorted(t.split("-")[0] for t in made) == ["gallery", "probes"] and {Path(f).parent.name for f in ranking.inputFiles()} == made
+
+
 def test_hits_without_ranking(crowd):
     """Hits by counting the users before the true one are those of the ranking: equal distances, users in several blocks, unasked users."""
     pool, known = crowd

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import forget, shared_dir, shuffles_removed  # noqa: F401
 
 #: Bytes of text that one numpy pass holds; a longer document makes a pass of its own.
 CHUNK_BYTES = 1 << 20
@@ -63,25 +63,6 @@ def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _open[-1].append(table)
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is executed inside go with the end of its execution.
-
-    Else they stay until the driver happens to collect its garbage, beside those of all
-    that follows, although a written table reads them no more.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def dealt_anew(df: DataFrame) -> DataFrame:
     """The rows of an aggregate, shuffled once more before a sort-merge join on its key.
 
@@ -93,15 +74,6 @@ def dealt_anew(df: DataFrame) -> DataFrame:
     return df.hint("rebalance").hint("merge")
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tracefold/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about `limit` bytes of text, one row at least."""
     for batch in batches:
