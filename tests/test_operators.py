@@ -205,6 +205,19 @@ def test_ranking_computes_its_source_once(crowd, spark):
     assert sorted(t.split("-")[0] for t in made) == ["gallery", "probes"] and {Path(f).parent.name for f in ranking.inputFiles()} == made
 
 
+def test_ranking_keeps_its_tasks(crowd, spark):
+    """As many shuffle partitions as tasks are asked do not take their place, which would be coalesced into one task."""
+    pool, _ = crowd
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(2 * spark.sparkContext.defaultParallelism))
+    try:
+        plan = attacks.dtw_ranking(pool, pool, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_hits_without_ranking(crowd):
     """Hits by counting the users before the true one are those of the ranking: equal distances, users in several blocks, unasked users."""
     pool, known = crowd
